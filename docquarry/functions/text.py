@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from docquarry import lexicon as lx
 
 WHITESPACE = " \t\n\r\x0b\x0c"
+# Word boundaries that treat accented letters as letters on every Java version.
+WORD_START, WORD_END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
 def lit_array(values: Sequence[str]) -> Column:
@@ -101,13 +103,13 @@ def text_statistics(c: Column, separator: str = "\n\n") -> dict[str, Column]:
 
 def capitalised_phrases(c: Column) -> Column:
     """All runs of capitalised words, in reading order."""
-    return F.regexp_extract_all(c, F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(WORD_START + r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*" + WORD_END), F.lit(0))
 
 
 # --- keywords, identifiers, entities ---------------------------------------------
 
 def _alternatives(terms: Sequence[str]) -> str:
-    return r"\b(?:" + "|".join(terms) + r")\b"
+    return WORD_START + "(?:" + "|".join(terms) + ")" + WORD_END
 
 
 def extract_keywords(
@@ -152,8 +154,7 @@ def pattern_counts(c: Column, patterns: Mapping[str, Sequence[str]] = lx.FAST_PA
 
 def terms_present(c: Column, terms: Sequence[str]) -> Column:
     """The terms (original spelling, list order) that occur in the text, any case."""
-    low = F.lower(c)
-    return F.filter(lit_array(terms), lambda t: F.contains(low, F.lower(t)))
+    return let(F.lower(c), lambda low: F.filter(lit_array(terms), lambda t: F.contains(low, F.lower(t))))
 
 
 # --- question and chunk text preparation ---------------------------------------------
@@ -173,7 +174,7 @@ def emphasise(c: Column, kind: str | Column, terms: Mapping[str, Sequence[str]]
     for name, term_list in reversed(list(terms.items())):
         doubled = c
         for t in term_list:
-            doubled = F.regexp_replace(doubled, rf"(?i)\b{t}\b", f"{t} {t}")
+            doubled = F.regexp_replace(doubled, f"(?i){WORD_START}{t}{WORD_END}", f"{t} {t}")
         out = F.when(kind_col == name, doubled).otherwise(out)
     return out
 

@@ -90,7 +90,10 @@ def sub_queries(expanded: Column, question: Column) -> Column:
 
 
 def search_flags(terms: Column) -> dict[str, Column]:
-    flags = {name: F.exists(terms, lambda t, w=word: F.lower(t).contains(w)) for name, word in lx.EXPANSION_FLAGS.items()}
+    def mentions(word: str) -> Column:
+        return F.exists(terms, lambda t: F.lower(t).contains(word))
+
+    flags = {name: mentions(word) for name, word in lx.EXPANSION_FLAGS.items()}
     flags["has_numerical_details"] = F.exists(terms, lambda t: t.rlike("[0-9]"))
     return flags
 

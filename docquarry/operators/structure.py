@@ -70,8 +70,11 @@ def with_headers(
     df = df.withColumn("_found", F.transform(F.transform(candidates, classify), settle))
 
     levels = sorted({lv for _, _, lv in patterns} | {2})
-    for lv in levels:
-        df = df.withColumn(f"_cut{lv}", F.transform(F.filter(F.col("_found"), lambda h, lv=lv: h["level"] <= lv), lambda h: h["line"]))
+
+    def lines_up_to(level: int) -> Column:
+        return F.transform(F.filter(F.col("_found"), lambda h: h["level"] <= level), lambda h: h["line"])
+
+    df = df.withColumns({f"_cut{lv}": lines_up_to(lv) for lv in levels})
 
     def bounded(h: Column) -> Column:
         cut = _level_is(levels, h, {lv: F.col(f"_cut{lv}") for lv in levels})
