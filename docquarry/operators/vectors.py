@@ -8,15 +8,20 @@ never become rows, and a hot namespace is simply more blocks.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.scale import BROADCAST_ROWS, top_k
 
+# Task functions travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_BYTES = 4 * 1024 * 1024
 SCORE_DIGITS = 9
 

@@ -6,17 +6,23 @@ Arrow batches next to the data. The defaults need no model.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import is_blank, lit_array, words
 
 
+# Task functions travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def embed(df: DataFrame, embedder: Callable[[pd.Series], list], text: str = "text", out: str = "embedding") -> DataFrame:
     """Vector column by a user callable ``texts -> vectors``; blank text has no vector."""
 
