@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry import lexicon as lx
 from docquarry.catalog.views import (
-    CHUNKS_SQL, QUESTIONS_SQL, benchmark_questions, chunk_view, sql_any, sql_text, sql_vectors, sql_words, table, tidy,
+    CHUNKS_SQL, QUESTIONS_SQL, benchmark_questions, chunk_view, stored_chunk_view, sql_any, sql_text, sql_vectors, sql_words, table, tidy,
 )
 from docquarry.functions.text import words
 from docquarry.operators import context as ctx
@@ -17,6 +17,7 @@ from docquarry.operators.expand import search_terms
 from docquarry.operators.intent import FILTERS
 from docquarry.plans.answer import answer
 from docquarry.plans.hybrid import block_filter, hybrid_search
+from docquarry.scale import cut_lineage
 from docquarry.slots import hashed_embedding, score_pairs
 
 QUERIES, SQL = {}, {}
@@ -119,9 +120,8 @@ def keyword_topk(spark, folder):
     return hits.withColumn("score", F.round("score", 6))
 
 
-def chunk_vectors(spark, folder, columns=()) -> DataFrame:
-    chunks = chunk_view(spark, folder).select("chunk_id", "namespace", "text", *columns)
-    return hashed_embedding(chunks).drop("text")
+def chunk_vectors(chunks: DataFrame, columns=()) -> DataFrame:
+    return hashed_embedding(chunks.select("chunk_id", "namespace", "text", *columns)).drop("text")
 
 
 def embedded_questions(spark, folder) -> DataFrame:
@@ -141,7 +141,7 @@ sem AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PART
 @query(f"WITH {CHUNKS_SQL}, {QUESTIONS_SQL}, {_SEMANTIC} SELECT query_id, chunk_id, score, rank_position FROM sem")
 def semantic_topk(spark, folder):
     """Benchmark texts against all chunks of their namespace, with hashed token vectors."""
-    return vec.vector_top_k(embedded_questions(spark, folder), chunk_vectors(spark, folder), K)
+    return vec.vector_top_k(embedded_questions(spark, folder), chunk_vectors(chunk_view(spark, folder)), K)
 
 
 _FUSED = f"""
@@ -152,15 +152,15 @@ both_sides AS (SELECT coalesce(s.query_id, k.query_id) AS query_id, coalesce(s.c
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, chunk_id) AS rank_position FROM both_sides) WHERE rank_position <= 15)"""
 
 
-def fused_hits(spark, folder) -> DataFrame:
-    semantic = vec.vector_top_k(embedded_questions(spark, folder), chunk_vectors(spark, folder), K)
-    keyword = se.keyword_top_k(question_terms(spark, folder), chunk_view(spark, folder), K)
+def fused_hits(spark, folder, chunks: DataFrame) -> DataFrame:
+    semantic = vec.vector_top_k(embedded_questions(spark, folder), chunk_vectors(chunks), K)
+    keyword = se.keyword_top_k(question_terms(spark, folder), chunks, K)
     return se.reciprocal_rank_fusion(semantic, keyword, 15)
 
 
 @query(f"WITH {CHUNKS_SQL}, {_TERMS}, {_KEYWORD}, {_SEMANTIC}, {_FUSED} SELECT query_id, chunk_id, semantic_score, round(metadata_score, 6) AS metadata_score, combined_score, rank_position FROM fused")
 def rrf_fusion(spark, folder):
-    return fused_hits(spark, folder).withColumn("metadata_score", F.round("metadata_score", 6))
+    return fused_hits(spark, folder, stored_chunk_view(spark, folder)).withColumn("metadata_score", F.round("metadata_score", 6))
 
 
 def _boost_sql(question: str = "lower(q.question)") -> str:
@@ -186,7 +186,8 @@ _ALL = f"{CHUNKS_SQL}, {_TERMS}, {_KEYWORD}, {_SEMANTIC}, {_FUSED}, {_RANKED}"
 def ranked_hits(spark, folder) -> DataFrame:
     """Fused hits with text, pair score and metadata boost, ten per question."""
     q = benchmark_questions(spark, folder).select("query_id", F.concat(F.lit("How to define coverage: "), "question").alias("question"))
-    full = se.attach_chunks(fused_hits(spark, folder), chunk_view(spark, folder)).join(q, "query_id")
+    chunks = stored_chunk_view(spark, folder)
+    full = se.attach_chunks(cut_lineage(fused_hits(spark, folder, chunks)), chunks).join(q, "query_id")
     scored = score_pairs(full)
     scored = scored.withColumn("combined_score", F.col("combined_score") * 0.3 + F.col("model_score") * 0.7)
     return se.rerank_with_boost(scored, K)
@@ -201,7 +202,8 @@ def rerank_boost(spark, folder):
 SELECT query_id, chunk_id, round(model_score, 6) AS model_score, round(combined_score, 6) AS combined_score, rank_position FROM b WHERE rank_position <= 5""")
 def rerank_blend(spark, folder):
     q = benchmark_questions(spark, folder).select("query_id", F.concat(F.lit("How to define coverage: "), "question").alias("question"))
-    full = score_pairs(se.attach_chunks(fused_hits(spark, folder), chunk_view(spark, folder)).join(q, "query_id"))
+    chunks = stored_chunk_view(spark, folder)
+    full = score_pairs(se.attach_chunks(cut_lineage(fused_hits(spark, folder, chunks)), chunks).join(q, "query_id"))
     out = se.rerank_blend(full, 5)
     return out.select("query_id", "chunk_id", F.round("model_score", 6).alias("model_score"), F.round("combined_score", 6).alias("combined_score"), "rank_position")
 
@@ -218,7 +220,7 @@ def context_budget(spark, folder):
 @query(f"""WITH {_ALL}, {_BUDGET}, h AS (SELECT query_id, md5(string_agg(left(text, 100), '|' ORDER BY rank_position)) AS context_hash FROM ranked WHERE rank_position <= 10 GROUP BY query_id)
 SELECT b.query_id, string_agg(formatted, chr(10) ORDER BY rank_position) AS context, count(*) AS context_chunks, any_value(h.context_hash) AS context_hash FROM budget b JOIN h ON h.query_id = b.query_id GROUP BY b.query_id""")
 def context_text(spark, folder):
-    ranked = ranked_hits(spark, folder)
+    ranked = cut_lineage(ranked_hits(spark, folder))
     return ctx.structured_context(ctx.within_budget(ranked, 2000)).join(ctx.context_hashes(ranked), "query_id")
 
 
@@ -228,7 +230,7 @@ def context_text(spark, folder):
   round((count(company_name) + count(section_header) + count(section_type) + count(chunk_type)) / (5.0::DOUBLE * count(*)), 6) AS metadata_completeness,
   count(*) AS total_results, round(avg(semantic_score), 6) AS avg_semantic_score, round(avg(combined_score), 6) AS avg_combined_score, round(arg_min(combined_score, rank_position), 6) AS top_result_score FROM ranked GROUP BY query_id""")
 def context_analysis(spark, folder):
-    ranked = ranked_hits(spark, folder)
+    ranked = cut_lineage(ranked_hits(spark, folder))
     a, s = ctx.context_analysis(ranked), ctx.search_stats(ranked)
     return a.join(s, "query_id").select(
         "query_id", F.array_join("sections_involved", "|").alias("sections"), F.array_join("content_types", "|").alias("content_types"), "primary_company",
@@ -278,9 +280,9 @@ UNION ALL SELECT query_id, chunk_id, 'keyword', rank_position FROM (SELECT *, ro
 def filtered_search(spark, folder):
     """Both sides with the filter applied before ranking."""
     q = filtered_questions(spark, folder)
-    chunks = chunk_view(spark, folder)
-    v = chunk_vectors(spark, folder, FILTERS)
-    semantic = vec.vector_top_k(q, v, K, match=block_filter, query_scope=["namespace", *[f"filter_{n}" for n in FILTERS]], vector_scope=["namespace", *FILTERS])
+    chunks = stored_chunk_view(spark, folder)
+    v = chunk_vectors(chunks, FILTERS)
+    semantic = vec.vector_top_k(q, v, K, match=block_filter(FILTERS), query_scope=["namespace", *[f"filter_{n}" for n in FILTERS]], vector_scope=["namespace", *FILTERS])
     keyword = se.keyword_top_k(q, chunks, K)
     cols = ["query_id", "chunk_id", "side", "rank_position"]
     return semantic.withColumn("side", F.lit("semantic")).select(*cols).unionByName(keyword.withColumn("side", F.lit("keyword")).select(*cols))
@@ -302,7 +304,7 @@ def multi_query_merge(spark, folder):
     parts = F.array(F.array_join(F.slice(w, 1, half), " "), F.array_join(F.slice(w, half + 1, F.size(w) - half), " "))
     sub = benchmark_questions(spark, folder).select(F.col("query_id").alias("_q"), "namespace", F.posexplode(parts).alias("_h", "question"))
     sub = sub.withColumn("query_id", F.concat_ws("#", "_q", F.col("_h").cast("string")))
-    hits = vec.vector_top_k(hashed_embedding(sub, "question", "vector"), chunk_vectors(spark, folder), K)
+    hits = vec.vector_top_k(hashed_embedding(sub, "question", "vector"), chunk_vectors(chunk_view(spark, folder)), K)
     return se.best_per_chunk(hits.withColumn("query_id", F.split("query_id", "#")[0]), K)
 
 
@@ -312,7 +314,7 @@ def multi_query_merge(spark, folder):
 SELECT query_id, chunk_id, rank_position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence_score DESC, chunk_index, chunk_id) AS rank_position FROM hits) WHERE rank_position <= {K}""")
 def fallback_search(spark, folder):
     """Questions with fewer than fifty candidates are searched again by general terms."""
-    q, chunks = question_terms(spark, folder), chunk_view(spark, folder)
+    q, chunks = question_terms(spark, folder), stored_chunk_view(spark, folder)
     first = se.keyword_top_k(q, chunks, 50)
     enough = first.groupBy("query_id").count().filter("count >= 50")
     poor = q.join(enough, "query_id", "left_anti").withColumn("terms", F.array(F.lit("the"), F.lit("de")))
@@ -322,16 +324,18 @@ def fallback_search(spark, folder):
 @query()
 def hybrid_search_full(spark, folder):
     """The whole hybrid search with intent, strategies, fallback and re-ranking."""
-    v = chunk_vectors(spark, folder, FILTERS)
-    out = hybrid_search(benchmark_questions(spark, folder), chunk_view(spark, folder), v, k=K, terms=lambda c: F.array_distinct(words(F.lower(c))))
+    chunks = stored_chunk_view(spark, folder)
+    v = cut_lineage(chunk_vectors(chunks, FILTERS))
+    out = hybrid_search(benchmark_questions(spark, folder), chunks, v, k=K, terms=lambda c: F.array_distinct(words(F.lower(c))))
     return out.select("query_id", "chunk_id", "semantic_score", "metadata_score", "model_score", "metadata_boost", "final_score", "rank_position")
 
 
 @query()
 def answers(spark, folder):
     """Questions to extractive answers with their analysis."""
-    v = chunk_vectors(spark, folder, FILTERS)
-    out = answer(benchmark_questions(spark, folder), chunk_view(spark, folder), v, terms=lambda c: F.array_distinct(words(F.lower(c))))
+    chunks = stored_chunk_view(spark, folder)
+    v = cut_lineage(chunk_vectors(chunks, FILTERS))
+    out = answer(benchmark_questions(spark, folder), chunks, v, terms=lambda c: F.array_distinct(words(F.lower(c))))
     lists = [F.array_join(c, "|").alias(c) for c in ("sources", "sections_involved", "content_types")]
     return out.select(*[c for c in out.columns if c not in ("sources", "sections_involved", "content_types")], *lists)
 

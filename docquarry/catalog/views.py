@@ -13,14 +13,17 @@ from pyspark.sql import types as T
 from docquarry.functions.text import words
 from docquarry.operators.chunking import paragraph_chunks
 from docquarry.operators.domain import company_columns, policy_type
+from docquarry.scale import cut_lineage, spread_small
 
 COMPANIES = [("English", ["the"]), ("French", ["le"]), ("German", ["der"]), ("Spanish", ["que"])]
 TYPES = [("Article", ["the", "le", "der", "el"]), ("Preposition", ["of", "de", "von", "por"]), ("Joiner", ["and", "et", "und", "y"])]
 MIN_CHARS = 50
+TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread_small(df) if name in TEXT_TABLES else df
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -49,6 +52,11 @@ def chunk_view(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.size(words(F.col("text"))) >= 20, F.lit("coverage")).otherwise(F.lit("definition")).alias("chunk_type"), "confidence_score")
 
 
+def stored_chunk_view(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunk view written once, as queries that read it several times need it."""
+    return cut_lineage(chunk_view(spark, folder))
+
+
 def benchmark_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Every benchmark text asked in every language namespace."""
     items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("question"))

@@ -18,12 +18,12 @@ EXACT = {"policy_uin", "section_type", "chunk_type"}
 def filter_test(filters: dict[str, Column], columns: dict[str, Column]) -> Column:
     """A chunk passes when every given filter holds: equality for ids and types,
     containment in any case for names."""
-    tests = []
-    for n in FILTERS:
-        f, c = filters[n], columns[n]
+    test = F.lit(True)
+    for n, f in filters.items():
+        c = columns[n]
         hit = (c == f) if n in EXACT else F.lower(c).contains(F.lower(f))
-        tests.append(f.isNull() | F.coalesce(hit, F.lit(False)))
-    return reduce(lambda a, b: a & b, tests)
+        test = test & (f.isNull() | F.coalesce(hit, F.lit(False)))
+    return test
 
 
 def metadata_filter(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -70,19 +70,18 @@ def keyword_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, terms:
     distinct (namespace, filter, term) are found first, pruned inside the tasks
     that read the chunks, and a query only merges the short lists of its terms.
     """
-    names = [f"filter_{n}" for n in FILTERS if f"filter_{n}" in queries.columns]
-    filters = {n: (F.col(f"filter_{n}") if f"filter_{n}" in names else F.lit(None).cast("string")) for n in FILTERS}
+    used = [n for n in FILTERS if f"filter_{n}" in queries.columns]
+    names = [f"filter_{n}" for n in used]
     limit = F.col(per_query_k) if per_query_k else F.lit(k)
     asked = queries.select("query_id", F.col("namespace").alias("_ns"), *names, limit.alias("_k"),
                            F.explode(F.array_distinct(F.transform(terms, lambda t: F.lower(t)))).alias("term"))
     asked = asked.withColumn("_scope", scope_key(F.col("_ns"), *[F.col(n) for n in names]))
     wanted = broadcast_if_small(asked.select("_ns", *names, "_scope", "term").distinct())
-    c = chunks.select("namespace", "chunk_id", "confidence_score", "chunk_index", *[n for n in FILTERS if f"filter_{n}" in names],
+    c = chunks.select("namespace", "chunk_id", "confidence_score", "chunk_index", *used,
                       F.lower("text").alias("_text"),
                       (F.array_join("keywords", " ") if "keywords" in chunks.columns else F.lit("")).alias("_keywords"))
     test = (F.col("namespace") == F.col("_ns")) & (F.col("_text").contains(F.col("term")) | F.lower("_keywords").contains(F.col("term")))
-    if names:
-        test = test & filter_test(filters, {n: (F.col(n) if f"filter_{n}" in names else F.lit(None).cast("string")) for n in FILTERS})
+    test = test & filter_test({n: F.col(f"filter_{n}") for n in used}, {n: F.col(n) for n in used})
     found = c.join(wanted, test).select("_scope", "term", "chunk_id", "confidence_score", "chunk_index")
     order = [F.col("confidence_score").desc(), F.col("chunk_index"), F.col("chunk_id")]
     best = top_k(found, ["_scope", "term"], order, k, rank="_r", salt=F.col("chunk_id"), salts=salts).drop("_r")

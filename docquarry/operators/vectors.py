@@ -85,38 +85,85 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, ties by id."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= floor)
-    else:
-        keep = np.arange(len(scores))
-    return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
+class BestOf:
+    """Running k best (score, id) per list key over all blocks of a task.
+
+    Once a key has k entries only candidates at or above its k-th score are kept,
+    so the buffer stays near keys * k however many blocks pass."""
+
+    COMPACT_AT = 500_000
+
+    def __init__(self) -> None:
+        self.codes: dict[tuple, int] = {}
+        self.limits = np.zeros(0, "int64")
+        self.floor = np.zeros(0)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pending = 0
+
+    def code(self, keys: list[tuple], limits: list[int]) -> np.ndarray:
+        out = np.array([self.codes.setdefault(key, len(self.codes)) for key in keys], "int64")
+        grown = len(self.codes) - len(self.floor)
+        if grown > 0:
+            self.floor = np.r_[self.floor, np.full(grown, -np.inf)]
+            self.limits = np.r_[self.limits, np.zeros(grown, "int64")]
+        self.limits[out] = limits
+        return out
+
+    def add(self, codes: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> None:
+        floor = self.floor[codes]
+        if scores.shape[1] > k:
+            floor = np.maximum(floor, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k])
+        row, column = np.nonzero(scores >= floor[:, None])
+        self.parts.append((codes[row], scores[row, column], ids[column]))
+        self.pending += len(row)
+        if self.pending > self.COMPACT_AT:
+            self.compact()
+
+    def compact(self) -> None:
+        if not self.parts:
+            return
+        codes, scores, ids = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((ids, -scores, codes))
+        codes, scores, ids = codes[order], scores[order], ids[order]
+        first = np.r_[True, np.diff(codes) != 0] if len(codes) else np.zeros(0, bool)
+        place = np.arange(len(codes)) - np.maximum.accumulate(np.where(first, np.arange(len(codes)), 0))
+        kept = place < self.limits[codes]
+        full = place == self.limits[codes] - 1
+        self.floor[codes[full]] = scores[full]
+        self.parts = [(codes[kept], scores[kept], ids[kept])]
+        self.pending = int(kept.sum())
 
 
 def score_blocks(pairs: DataFrame, k: int, keep_scope: Sequence[str] = ()) -> DataFrame:
-    """Block pairs (q_ids, q_matrix, q_k, ids, matrix) to candidate rows, k per query and block."""
+    """Block pairs (q_ids, q_matrix, q_k, ids, matrix) to candidate rows, k per query and task."""
     keep_scope = list(keep_scope)
     scope_schema = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
     schema = "query_id string, chunk_id string, score double" + "".join(f", {c} {scope_schema[c]}" for c in keep_scope)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, seen = BestOf(), {}
         for batch in batches:
             for row in batch.to_pylist():
                 if row["dim"] != row["q_dim"]:
                     raise ValueError("query and vector dimensions differ")
-                q = _unit(np.frombuffer(row["q_matrix"], "float64").reshape(-1, row["q_dim"]))
+                scope = tuple(row[c] for c in keep_scope)
+                block = (hash(row["q_matrix"]), row["q_ids"][0], scope)
+                if block not in seen:
+                    unit = _unit(np.frombuffer(row["q_matrix"], "float64").reshape(-1, row["q_dim"]))
+                    limits = [min(k, n) for n in row["q_k"]]
+                    seen[block] = unit, best.code([(q, *scope) for q in row["q_ids"]], limits)
+                q, codes = seen[block]
                 v = _unit(np.frombuffer(row["matrix"], "float32").reshape(-1, row["dim"]).astype("float64"))
-                similarity = np.round(q @ v.T, SCORE_DIGITS) + 0.0
-                ids = np.array(row["ids"], dtype=object)
-                ranks = np.argsort(np.argsort(ids))
-                for i, (query, limit) in enumerate(zip(row["q_ids"], row["q_k"])):
-                    best = _best(similarity[i], ranks, min(k, limit))
-                    out = [pa.array([query] * len(best), pa.string()), pa.array(list(ids[best]), pa.string()),
-                           pa.array(similarity[i][best], pa.float64())]
-                    out += [pa.array([row[c]] * len(best), pa.string()) for c in keep_scope]
-                    yield pa.RecordBatch.from_arrays(out, names=["query_id", "chunk_id", "score"] + keep_scope)
+                best.add(codes, np.round(q @ v.T, SCORE_DIGITS) + 0.0, np.array(row["ids"]), k)
+        best.compact()
+        names = list(best.codes)
+        for codes, scores, ids in best.parts:
+            for at in range(0, len(codes), 50_000):
+                part = slice(at, at + 50_000)
+                owners = [names[c] for c in codes[part]]
+                out = [pa.array([o[0] for o in owners], pa.string()), pa.array(ids[part].tolist(), pa.string()), pa.array(scores[part], pa.float64())]
+                out += [pa.array([o[1 + i] for o in owners], pa.string()) for i in range(len(keep_scope))]
+                yield pa.RecordBatch.from_arrays(out, names=["query_id", "chunk_id", "score"] + keep_scope)
 
     return pairs.mapInArrow(score, schema)
 

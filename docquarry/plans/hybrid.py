@@ -31,20 +31,27 @@ def plan_queries(queries: DataFrame, chunks: DataFrame, k: int, k_column: str |
     return q.withColumn("search_texts", texts).withColumn("_k", wanted.cast("int"))
 
 
-def block_filter(side: DataFrame, blocks: DataFrame) -> Column:
+def block_filter(names: list[str]):
     """The metadata filter between a block of queries and a block of vectors."""
-    return search.filter_test({n: side[f"q_filter_{n}"] for n in FILTERS}, {n: blocks[n] for n in FILTERS})
+    def match(side: DataFrame, blocks: DataFrame) -> Column:
+        return search.filter_test({n: side[f"q_filter_{n}"] for n in names}, {n: blocks[n] for n in names})
 
+    return match
 
-def semantic_hits(q: DataFrame, vectors: DataFrame, k: int, embedder, context: str | None, filtered: bool, salts: int) -> DataFrame:
+
+def used_filters(q: DataFrame) -> list[str]:
+    """Filter columns that any query sets; the others need not split the blocks."""
+    row = q.agg(*[F.max(F.col(f"filter_{n}").isNotNull()).alias(n) for n in FILTERS]).first()
+    return [n for n in FILTERS if row[n]]
+
+
+def semantic_hits(q: DataFrame, vectors: DataFrame, k: int, embedder, context: str | None, filters: list[str], salts: int) -> DataFrame:
     """Vector top-k of search rows (query_id, namespace, search_text, _k, filters)."""
     text = query_with_context(F.col("search_text"), F.lit(context)) if context else F.col("search_text")
     q = embedder(q.withColumn("_t", text), "_t", "vector")
-    scope = ["namespace", *[f"filter_{n}" for n in FILTERS]] if filtered else ["namespace"]
     return vector_top_k(
-        q, vectors, k, per_query_k="_k", query_scope=scope,
-        vector_scope=["namespace", *FILTERS] if filtered else ["namespace"],
-        match=block_filter if filtered else None, salts=salts)
+        q, vectors, k, per_query_k="_k", query_scope=["namespace", *[f"filter_{n}" for n in filters]],
+        vector_scope=["namespace", *filters], match=block_filter(filters) if filters else None, salts=salts)
 
 
 def hybrid_search(
@@ -72,12 +79,13 @@ def hybrid_search(
     multi-query questions with too few candidates are searched again without filters.
     """
     q = cut_lineage(plan_queries(queries.withColumn("query_id", F.col("query_id").cast("string")), chunks, k, k_column, rules))
+    filters = used_filters(q)
     multi = F.col("strategy") == "multi_query"
-    sub = q.select("query_id", "namespace", "strategy", *[f"filter_{n}" for n in FILTERS],
+    sub = q.select("query_id", "namespace", "strategy", *[f"filter_{n}" for n in filters],
                    F.posexplode("search_texts").alias("_sub", "search_text"),
                    F.when(multi, F.least("_k", F.lit(SUB_QUERY_CAP))).otherwise(F.least("_k", F.lit(SEARCH_CAP))).alias("_limit"))
     sub = sub.withColumn("query_id", F.concat_ws("\u0001", "query_id", F.col("_sub").cast("string"))).withColumnRenamed("_limit", "_k")
-    semantic = semantic_hits(sub, vectors, SEARCH_CAP, embedder, context, True, salts)
+    semantic = semantic_hits(sub, vectors, SEARCH_CAP, embedder, context, filters, salts)
     keyword = search.keyword_top_k(sub.withColumn("terms", expand.search_terms(terms(F.col("search_text")))), chunks, SEARCH_CAP, per_query_k="_k", salts=salts)
 
     def merged(hits: DataFrame) -> DataFrame:
@@ -91,7 +99,7 @@ def hybrid_search(
     poor = q.join(found, "query_id", "left").filter(multi & (F.coalesce("_n", F.lit(0)) < fallback_below))
     poor = poor.withColumn("_k", F.col("_k") * 3).withColumn("search_text", F.col("question"))
     again = poor.select("query_id", "namespace", "search_text", "_k")
-    broad = semantic_hits(again, vectors, 3 * k, embedder, context, False, salts)
+    broad = semantic_hits(again, vectors, 3 * k, embedder, context, [], salts)
     own = search.keyword_top_k(again.withColumn("terms", expand.search_terms(terms(F.col("search_text")))), chunks, 3 * k, per_query_k="_k", salts=salts)
     extra = again.withColumn("terms", expand.search_terms(fallback_terms(F.col("search_text")))).withColumn("_k", (F.col("_k") * 2 / 3).cast("int"))
     extra = search.keyword_top_k(extra, chunks, 2 * k, per_query_k="_k", salts=salts)

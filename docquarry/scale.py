@@ -46,6 +46,19 @@ def top_k(
     return ranked.filter(F.col(rank) <= F.col(k)) if isinstance(k, str) else ranked
 
 
+SMALL_INPUT = 64 * 1024 * 1024
+
+
+def spread_small(df: DataFrame, max_bytes: int = SMALL_INPUT) -> DataFrame:
+    """Spread a small table over all cores; a large one has splits enough as it is.
+
+    A file of one row group is one task whatever the number of cores. The size is
+    the optimizer's estimate from file lengths, so no job runs."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if int(str(size)) <= max_bytes else df
+
+
 def explode_rows(df: DataFrame, keys: Sequence, array: str | Column, position: str, value: str) -> DataFrame:
     """One row per array element with its 0-based position.
 
@@ -64,4 +77,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return df.checkpoint(eager=True) if folder else df
+    if not folder:
+        return df
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
