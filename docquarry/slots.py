@@ -29,12 +29,12 @@ def embed(df: DataFrame, embedder: Callable[[pd.Series], list], text: str = "tex
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            vectors = pd.Series([None] * len(texts), dtype=object)
-            filled = texts.notna() & (texts.str.strip() != "")
+            filled = (texts.notna() & (texts.str.strip() != "")).to_numpy(dtype=bool)
+            vectors = [None] * len(texts)
             if filled.any():
-                for at, v in zip(np.flatnonzero(filled.to_numpy()), embedder(texts[filled])):
-                    vectors.iloc[at] = None if v is None else np.asarray(v, dtype="float32")
-            yield vectors
+                for at, v in zip(np.flatnonzero(filled), embedder(texts[filled])):
+                    vectors[at] = None if v is None else [float(x) for x in v]
+            yield pd.Series(vectors, dtype=object)
 
     return df.withColumn(out, run(F.col(text)))
 
