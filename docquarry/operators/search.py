@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docquarry import lexicon as lx
 from docquarry.functions.text import contains_any
 from docquarry.operators.intent import FILTERS
+from docquarry.operators.keywords import best_per_term
 from docquarry.scale import broadcast_if_small, top_k
 
 EXACT = {"policy_uin", "section_type", "chunk_type"}
@@ -66,25 +67,21 @@ def keyword_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, terms:
     """Chunks that contain any search term, best confidence first:
     query_id, chunk_id, score, rank_position.
 
-    The order of hits does not depend on the query. So the k best chunks of each
-    distinct (namespace, filter, term) are found first, pruned inside the tasks
-    that read the chunks, and a query only merges the short lists of its terms.
+    The k best chunks of each distinct (namespace, filter, term) are found first;
+    a query then only merges the short lists of its terms.
     """
     used = [n for n in FILTERS if f"filter_{n}" in queries.columns]
     names = [f"filter_{n}" for n in used]
     limit = F.col(per_query_k) if per_query_k else F.lit(k)
     asked = queries.select("query_id", F.col("namespace").alias("_ns"), *names, limit.alias("_k"),
                            F.explode(F.array_distinct(F.transform(terms, lambda t: F.lower(t)))).alias("term"))
-    asked = asked.withColumn("_scope", scope_key(F.col("_ns"), *[F.col(n) for n in names]))
-    wanted = broadcast_if_small(asked.select("_ns", *names, "_scope", "term").distinct())
-    c = chunks.select("namespace", "chunk_id", "confidence_score", "chunk_index", *used,
-                      F.lower("text").alias("_text"),
-                      (F.array_join("keywords", " ") if "keywords" in chunks.columns else F.lit("")).alias("_keywords"))
-    test = (F.col("namespace") == F.col("_ns")) & (F.col("_text").contains(F.col("term")) | F.lower("_keywords").contains(F.col("term")))
-    test = test & filter_test({n: F.col(f"filter_{n}") for n in used}, {n: F.col(n) for n in used})
-    found = c.join(wanted, test).select("_scope", "term", "chunk_id", "confidence_score", "chunk_index")
+    asked = asked.withColumn("_scope", scope_key(F.col("_ns"), *[F.col(n) for n in names])).filter("term <> ''")
+    wanted = asked.select("_ns", *names, "_scope", "term").distinct()
+    texts = [F.lower("text")] + ([F.lower(F.array_join("keywords", " "))] if "keywords" in chunks.columns else [])
+    c = chunks.select("namespace", "chunk_id", "confidence_score", "chunk_index", *used, F.concat_ws("\u0000", *texts).alias("haystack"))
+    match = filter_test({n: F.col(f"filter_{n}") for n in used}, {n: F.col(n) for n in used})
     order = [F.col("confidence_score").desc(), F.col("chunk_index"), F.col("chunk_id")]
-    best = top_k(found, ["_scope", "term"], order, k, rank="_r", salt=F.col("chunk_id"), salts=salts).drop("_r")
+    best = best_per_term(c, wanted, k, names, match, used, salts)
     hits = asked.select("query_id", "_scope", "term", "_k").join(best, ["_scope", "term"])
     hits = hits.select("query_id", "_k", "chunk_id", "confidence_score", "chunk_index").distinct()
     ranked = top_k(hits, ["query_id"], order, "_k", bound=k)
