@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from docquarry.functions.text import words
 from docquarry.operators.chunking import paragraph_chunks
-from docquarry.operators.domain import company_columns, policy_type
+from docquarry.operators.domain import company_hits, policy_type
 from docquarry.scale import cut_lineage, spread_small
 
 COMPANIES = [("English", ["the"]), ("French", ["le"]), ("German", ["der"]), ("Spanish", ["que"])]
@@ -41,7 +41,8 @@ def tidy(df: DataFrame) -> DataFrame:
 
 def chunk_view(spark: SparkSession, folder: str) -> DataFrame:
     """One chunk per long line of every document, with document metadata."""
-    docs = table(spark, folder, "documents").withColumns(company_columns(F.col("text"), COMPANIES))
+    docs = table(spark, folder, "documents").withColumn("_best", company_hits(F.col("text"), COMPANIES)).withColumns({
+        "company_name": F.when(F.col("_best.score") > 0, F.col("_best.name")), "confidence_score": F.least(F.col("_best.score") / 10, F.lit(1.0))})
     docs = docs.withColumn("policy_type", policy_type(F.col("text"), TYPES))
     rows = paragraph_chunks(docs, ("doc_id", "lang", "source", "company_name", "confidence_score", "policy_type"), separator="\n", min_chars=MIN_CHARS)
     return rows.select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry import lexicon as lx
-from docquarry.functions.text import first_match, occurrences, policy_id
+from docquarry.functions.text import first_match, let, occurrences, policy_id
 
 SCORED = "array<struct<score:double,ord:int,name:string>>"
 
@@ -28,12 +28,15 @@ def _best(scores: list[tuple[str, Column]]) -> Column:
 
 def company_hits(text: Column, companies=lx.COMPANY_PATTERNS) -> Column:
     """Best company by its most frequent pattern: struct(score, ord, name)."""
-    low = F.lower(text)
-    scored = []
-    for name, patterns in companies:
-        counts = [F.regexp_count(low, F.lit(p)) for p in patterns]
-        scored.append((name, F.greatest(*counts) if len(counts) > 1 else counts[0]))
-    return _best(scored)
+
+    def best(low: Column) -> Column:
+        scored = []
+        for name, patterns in companies:
+            counts = [F.regexp_count(low, F.lit(p)) for p in patterns]
+            scored.append((name, F.greatest(*counts) if len(counts) > 1 else counts[0]))
+        return _best(scored)
+
+    return let(F.lower(text), best)
 
 
 def company_columns(text: Column, companies=lx.COMPANY_PATTERNS) -> dict[str, Column]:
@@ -46,34 +49,41 @@ def company_columns(text: Column, companies=lx.COMPANY_PATTERNS) -> dict[str, Co
 
 def policy_type(text: Column, types=lx.POLICY_TYPE_TERMS) -> Column:
     """Type whose terms occur most often; NULL when none occurs."""
-    low = F.lower(text)
-    best = _best([(name, _total([occurrences(low, t) for t in terms])) for name, terms in types])
-    return F.when(best["score"] > 0, best["name"])
+
+    def best(low: Column) -> Column:
+        return _best([(name, _total([occurrences(low, t) for t in terms])) for name, terms in types])
+
+    return let(let(F.lower(text), best), lambda b: F.when(b["score"] > 0, b["name"]))
 
 
-def domain_scores(text: Column, lexicon=lx.DOMAIN_LEXICON) -> list[tuple[str, Column]]:
-    low = F.lower(text)
-    out = []
-    for name, keywords, patterns in lexicon:
-        present = [F.when(low.contains(k), F.lit(0.05)).otherwise(F.lit(0.0)) for k in keywords]
-        matches = [F.regexp_count(low, F.lit("(?i)" + p)) * F.lit(0.1) for p in patterns]
-        out.append((name, F.round(_total(present + matches), 2)))
-    return out
+def _best_domain(text: Column, lexicon) -> Column:
+    def best(low: Column) -> Column:
+        scored = []
+        for name, keywords, patterns in lexicon:
+            present = [F.when(low.contains(k), F.lit(0.05)).otherwise(F.lit(0.0)) for k in keywords]
+            matches = [F.regexp_count(low, F.lit("(?i)" + p)) * F.lit(0.1) for p in patterns]
+            scored.append((name, F.round(_total(present + matches), 2)))
+        return _best(scored)
+
+    return let(F.lower(text), best)
 
 
 def domain_by_score(text: Column, lexicon=lx.DOMAIN_LEXICON, threshold: float = lx.DOMAIN_THRESHOLD) -> dict[str, Column]:
     """Weighted presence of words and pattern matches; general below the threshold."""
-    best = _best(domain_scores(text, lexicon))
+    best = _best_domain(text, lexicon)
     return {
-        "domain": F.when(best["score"] > threshold, best["name"]).otherwise(F.lit("general")),
+        "domain": let(best, lambda b: F.when(b["score"] > threshold, b["name"]).otherwise(F.lit("general"))),
         "domain_score": best["score"],
     }
 
 
 def domain_by_vote(text: Column, lexicon=lx.DOMAIN_VOTE) -> Column:
     """Domain with most distinct words present; the first one when nothing occurs."""
-    low = F.lower(text)
-    return _best([(n, _total([F.when(low.contains(k), 1).otherwise(0) for k in ks])) for n, ks in lexicon])["name"]
+
+    def best(low: Column) -> Column:
+        return _best([(n, _total([F.when(low.contains(k), 1).otherwise(0) for k in ks])) for n, ks in lexicon])
+
+    return let(F.lower(text), best)["name"]
 
 
 def domain_by_metadata(file_type: Column, title: Column) -> Column:
