@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -108,22 +109,31 @@ def capitalised_phrases(c: Column) -> Column:
 
 # --- keywords, identifiers, entities ---------------------------------------------
 
-def _alternatives(terms: Sequence[str]) -> str:
-    return WORD_START + "(?:" + "|".join(terms) + ")" + WORD_END
-
-
 def extract_keywords(
     c: Column,
     terms: Sequence[str] = lx.KEYWORD_TERMS,
     companies: Sequence[str] = lx.KEYWORD_COMPANIES,
     identifier: str | None = lx.IDENTIFIER_PATTERN,
 ) -> Column:
-    """Distinct lexicon words and identifier-like tokens, sorted."""
-    low = F.lower(c)
-    found = [F.regexp_extract_all(low, F.lit(_alternatives(t)), F.lit(0)) for t in (terms, companies) if t]
+    """Distinct lexicon words and identifier-like tokens, sorted.
+
+    One-word terms are looked up among the words of the text; only terms of
+    several words need a search of their own."""
+    listed = [*terms, *companies]
+    single = [t for t in listed if re.fullmatch(r"\w+", t)]
+    several = [t for t in listed if t not in single]
+
+    def found(low: Column) -> Column:
+        parts = [F.array_intersect(F.split(low, r"[^\p{L}\p{N}_]+"), lit_array(single))]
+        for t in several:
+            whole = low.contains(t) & low.rlike(WORD_START + re.escape(t) + WORD_END)
+            parts.append(F.when(whole, lit_array([t])).otherwise(lit_array([])))
+        return F.concat(*parts)
+
+    lists = [let(F.lower(c), found)]
     if identifier:
-        found.append(F.regexp_extract_all(c, F.lit(identifier), F.lit(0)))
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+        lists.append(F.regexp_extract_all(c, F.lit(identifier), F.lit(0)))
+    return F.array_sort(F.array_distinct(F.concat(*lists)))
 
 
 def first_group(c: Column, patterns: Sequence[str]) -> Column:

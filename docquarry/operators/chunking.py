@@ -4,7 +4,9 @@ so splitting a corpus needs no shuffle and a hot source costs nothing extra."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +29,20 @@ _FLAGS = {n for n, t in PIECE if t == "boolean"}
 PACK = "struct<done:array<struct<text:string,tokens:int,level:string>>,cur:array<string>,n:int>"
 
 
+@lru_cache(maxsize=4)
+def _missing(_context: int) -> dict[str, Column]:
+    """Typed columns for fields a producer leaves out, built once per session."""
+    return {n: (F.lit(False) if n in _FLAGS else F.lit(None).cast(t)).alias(n) for n, t in PIECE}
+
+
 def piece(**values: Column) -> Column:
     """A chunk struct; missing flags are false, other missing fields NULL."""
-    return F.struct(*[
-        values.get(n, F.lit(False) if n in _FLAGS else F.lit(None)).cast(t).alias(n) for n, t in PIECE
-    ])
+    missing = _missing(id(SparkContext._active_spark_context))
+    return F.struct(*[values[n].cast(t).alias(n) if n in values else missing[n] for n, t in PIECE])
 
 
 def _with(p: Column, **values: Column) -> Column:
-    return piece(**{n: values.get(n, p[n]) for n, _ in PIECE})
+    return F.struct(*[values[n].cast(t).alias(n) if n in values else p[n].alias(n) for n, t in PIECE])
 
 
 # --- greedy packing ----------------------------------------------------------------
