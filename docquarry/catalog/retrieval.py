@@ -267,9 +267,7 @@ def filter_fall_open(spark, folder):
 
 def filtered_questions(spark, folder) -> DataFrame:
     """Questions that ask for long chunks of one company in their namespace."""
-    fixed = {f"filter_{n}": F.lit(None).cast("string") for n in FILTERS}
-    fixed["filter_chunk_type"], fixed["filter_company_name"] = F.lit("coverage"), F.lit("english")
-    return embedded_questions(spark, folder).withColumns(fixed)
+    return embedded_questions(spark, folder).withColumns({"filter_chunk_type": F.lit("coverage"), "filter_company_name": F.lit("english")})
 
 
 @query(f"""WITH {CHUNKS_SQL}, {_TERMS}, {_SEMANTIC},
@@ -281,8 +279,9 @@ def filtered_search(spark, folder):
     """Both sides with the filter applied before ranking."""
     q = filtered_questions(spark, folder)
     chunks = stored_chunk_view(spark, folder)
-    v = chunk_vectors(chunks, FILTERS)
-    semantic = vec.vector_top_k(q, v, K, match=block_filter(FILTERS), query_scope=["namespace", *[f"filter_{n}" for n in FILTERS]], vector_scope=["namespace", *FILTERS])
+    used = ["company_name", "chunk_type"]
+    v = chunk_vectors(chunks, used)
+    semantic = vec.vector_top_k(q, v, K, match=block_filter(used), query_scope=["namespace", *[f"filter_{n}" for n in used]], vector_scope=["namespace", *used])
     keyword = se.keyword_top_k(q, chunks, K)
     cols = ["query_id", "chunk_id", "side", "rank_position"]
     return semantic.withColumn("side", F.lit("semantic")).select(*cols).unionByName(keyword.withColumn("side", F.lit("keyword")).select(*cols))
