@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from docquarry.llm.bpe import transducer
@@ -18,7 +19,7 @@ def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text") -> Ite
     """Slices of the batches with about BATCH_CHARS bytes of text each, and their texts."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
-        sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             done = sizes[start - 1] if start else 0
