@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.exact import exact_duplicates
+from docquarry.llm.near import near_duplicates
 from docquarry.llm.packing import pack_documents
 from docquarry.llm.tokens import tokenize
 
@@ -47,3 +48,8 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
   doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM t""")
 def op8_exact_dedup(spark, folder):
     return exact_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op10_minhash(spark, folder):
+    return near_duplicates(table(spark, folder, "documents"))

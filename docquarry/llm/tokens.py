@@ -15,8 +15,8 @@ from docquarry.llm.bpe import transducer
 BATCH_CHARS = 1 << 20
 
 
-def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of the batches with about BATCH_CHARS bytes of text each, and their texts."""
+def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text", values: bool = True) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of the batches with about BATCH_CHARS bytes of text each, and their texts if ``values``."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
@@ -25,7 +25,7 @@ def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text") -> Ite
             done = sizes[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(sizes, done + BATCH_CHARS, "right")))
             part = batch.slice(start, end - start)
-            yield part, part.column(batch.schema.get_field_index(column)).to_pylist()
+            yield part, part.column(batch.schema.get_field_index(column)).to_pylist() if values else []
             start = end
 
 
