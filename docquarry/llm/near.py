@@ -91,13 +91,14 @@ def different_bits(a: str, b: str, words: int) -> Column:
     return total
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, repeated: bool = False) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= ``percent`` * union of their full shingle sets.
 
-    The texts of b go to a's group, which is split by a salt, and stream past the set of a."""
+    ``repeated``: items have several, equal, texts. The texts of b go to a's group, which is split by a salt, and stream past the set of a."""
     pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
     roles = pairs.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("item")).distinct().unionAll(pairs.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("item")))
     wanted = rows_of(texts.select("item", "text"), roles.select("item").distinct(), "item")
+    wanted = wanted.groupBy("item").agg(F.first("text").alias("text")) if repeated else wanted
     rows = roles.join(wanted, "item").select("a", "salt", "role", "item", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches):
@@ -118,10 +119,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percent: int = 75) -> DataFrame:
+def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percent: int = 75, repeated: bool = False) -> DataFrame:
     """Components of items whose full shingle sets are similar: node, component.
 
-    ``signed``: a stored result of ``signatures`` with one row per distinct set; ``texts(item,
+    ``signed``: a stored result of ``signatures``; rows of one item are equal; ``texts(item,
     text)``. Candidates share a band and have near odd sketches. First each item is compared
     with the best of the smallest items of its bands: one pair per item however large a group
     is. Then, in bands whose items still lie in several components, all pairs across
@@ -132,7 +133,7 @@ def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percen
     bands = signed.filter("n_shingles > 0").select("item", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("item").alias("first"), F.max("item").alias("last")).filter("first < last")
     met = stored(bands.join(shared.select("key", "first"), "key").select("key", "item", "first").distinct())
-    sketches = signed.select("item", "sketch")
+    sketches = stored(rows_of(signed.select("item", "sketch"), met.select("item").distinct(), "item").groupBy("item").agg(F.first("sketch").alias("sketch")))
 
     def near(pairs):
         both = pairs.join(sketches.withColumnsRenamed({"item": "a", "sketch": "sa"}), "a").join(sketches.withColumnsRenamed({"item": "b", "sketch": "sb"}), "b")
@@ -140,7 +141,7 @@ def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percen
 
     stars = near(met.filter("item <> first").select(F.col("first").alias("a"), F.col("item").alias("b")).distinct())
     stars = stars.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    edges = stored(confirmed(stored(stars), texts, percent))
+    edges = stored(confirmed(stored(stars), texts, percent, repeated))
     joined = stored(components(edges))
     labels = met.join(joined.withColumnRenamed("node", "item"), "item", "left").select("key", "item", F.coalesce("component", "item").alias("label"))
     labels = stored(labels)
@@ -151,7 +152,7 @@ def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percen
     more = stored(across.select(F.col("item1").alias("a"), F.col("item2").alias("b")).distinct())
     if more.isEmpty():
         return joined
-    return stored(components(edges.unionAll(confirmed(more, texts, percent))))
+    return stored(components(edges.unionAll(confirmed(more, texts, percent, repeated))))
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75, scheme: MinHash = MinHash()) -> DataFrame:

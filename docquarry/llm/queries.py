@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.exact import exact_duplicates
 from docquarry.llm.near import near_duplicates
 from docquarry.llm.packing import pack_documents
+from docquarry.llm.paragraphs import repeated_paragraphs
 from docquarry.llm.tokens import tokenize
 
 VOCABULARY = "word_bpe_49k.json"
@@ -43,6 +44,12 @@ def op4_packing(spark, folder):
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+@query()
+def op5_paragraphs(spark, folder):
+    """Paragraphs that an earlier document has, with that document."""
+    return repeated_paragraphs(table(spark, folder, "documents"))
+
+
 @query("""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
   doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM t""")
