@@ -64,9 +64,9 @@ PARAGRAPHS = "doc_id bigint, whole_line boolean, paragraph bigint, start bigint,
 
 
 def paragraphs(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``documents(doc_id, text)`` -> its lines and its sentence paragraphs, numbered from 0 each, with
-    ``start`` and ``length`` in characters up to the next one, and ``item``: a hash of the words
-    (of a line: of its set of shingles). Paragraphs under ``least_words`` words are left out."""
+    """``documents(doc_id, text)`` -> its lines and its sentence paragraphs of at least ``least_words`` words,
+    numbered from 0 each, with ``start`` and ``length`` in characters up to the next one, and
+    ``item``: a hash of the words (of a line: of its set of shingles)."""
 
     def run(batches):
         for part, _ in text_batches(batches, values=False):
@@ -86,8 +86,9 @@ def paragraphs(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
                     following = np.append(starts[1:], len(words.data))
                     ends = np.minimum(following, words.bounds[text + 1]) if len(first) else following[:0]
                     items = _run_hashes(words.hashes, first)
-                number = np.arange(len(text)) - np.searchsorted(text, text)
                 keep = np.flatnonzero(last - first >= least_words)
+                number = np.zeros(len(text), np.int64)
+                number[keep] = np.arange(len(keep)) - np.searchsorted(text[keep], text[keep])
                 origin = signs[words.bounds[text]] if len(text) else np.empty(0, np.int64)
                 columns = [number, signs[starts] - origin, signs[ends] - signs[starts], last - first, items.view(np.int64)]
                 out.append(pa.RecordBatch.from_arrays(
