@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.exact import exact_duplicates
+from docquarry.llm.fingerprints import fingerprint_documents
 from docquarry.llm.near import near_duplicates
 from docquarry.llm.packing import pack_documents
 from docquarry.llm.paragraphs import repeated_paragraphs
@@ -50,6 +51,12 @@ def op5_paragraphs(spark, folder):
     return repeated_paragraphs(table(spark, folder, "documents"))
 
 
+@query()
+def op7_winnowing(spark, folder):
+    found = fingerprint_documents(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 @query("""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
   doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM t""")
