@@ -11,6 +11,7 @@ from docquarry.llm.fingerprints import fingerprint_documents
 from docquarry.llm.near import near_duplicates
 from docquarry.llm.packing import pack_documents
 from docquarry.llm.paragraphs import repeated_paragraphs
+from docquarry.llm.quality import fit_quality, fold, score_quality
 from docquarry.llm.tokens import tokenize
 
 VOCABULARY = "word_bpe_49k.json"
@@ -40,6 +41,13 @@ def op2_bpe(spark, folder):
     return coded.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query()
+def op3_quality(spark, folder):
+    documents = table(spark, folder, "documents")
+    scored = score_quality(documents, fit_quality(documents, table(spark, folder, "labels")))
+    return scored.select("doc_id", fold(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query()
 def op4_packing(spark, folder):
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
