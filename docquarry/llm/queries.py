@@ -13,6 +13,7 @@ from docquarry.llm.packing import pack_documents
 from docquarry.llm.paragraphs import repeated_paragraphs
 from docquarry.llm.quality import fit_quality, fold, score_quality
 from docquarry.llm.tokens import tokenize
+from docquarry.llm.toxicity import fit_toxicity, score_toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -75,3 +76,10 @@ def op8_exact_dedup(spark, folder):
 @query()
 def op10_minhash(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op9_toxicity(spark, folder):
+    documents = table(spark, folder, "documents")
+    scored = score_toxicity(documents, fit_toxicity(documents, table(spark, folder, "labels")))
+    return scored.select("doc_id", fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
