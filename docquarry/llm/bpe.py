@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import regex
 
 # Fixed values of the tokenizer's pattern: white space, contractions, letter runs, single digits, other runs.
@@ -68,6 +69,7 @@ class Merges:
         self.lookahead = max(formed.values(), default=1) + self.longest
         self._spans: dict[int, tuple[int, ...]] = {}
         self._by_bytes: dict[tuple[int, ...], int] | None = None
+        self.table: tuple[np.ndarray, np.ndarray] | None = None
 
     def join(self, symbols: list[int]) -> list[int]:
         """Apply the merges, lowest rank first and leftmost of equals."""
@@ -87,6 +89,67 @@ class Merges:
                 ranks[at] = rank_of(token << 20 | out[at + 1], none)
         return out
 
+    def join_many(self, words: list[str]) -> list[bytes]:
+        """``join`` for the symbols of many short words at once: ids as little-endian 32-bit numbers.
+
+        One row per word; every round merges the best pair of each row and looks up its two
+        new neighbours."""
+        if self.table is None:
+            keys = np.fromiter(self.ranks, np.int64, len(self.ranks))
+            order = np.argsort(keys)
+            self.table = keys[order], np.fromiter(self.ranks.values(), np.int64, len(keys))[order]
+        data = [w.encode("utf-8") for w in words]
+        lengths = np.array([len(d) for d in data])
+        flat, none = np.frombuffer(b"".join(data), np.uint8), len(self.made)
+        made, inner, final = np.array(self.made), np.array(self.inner), np.array(self.final)
+        begins = np.cumsum(lengths) - lengths
+        out: list[bytes] = [b""] * len(words)
+        for low, high in ((0, 4), (4, 8), (8, 12), (12, 16), (16, 24), (24, LONG_WORD)):
+            rows = np.flatnonzero((lengths > low) & (lengths <= high))
+            for start in range(0, len(rows), 4096):
+                part = rows[start:start + 4096]
+                self._join_rows(part, flat, begins, lengths, high, made, inner, final, none, out)
+        return out
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray, none: int) -> np.ndarray:
+        keys, ranks = self.table
+        wanted = left << 20 | right
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where((keys[at] == wanted) & (left >= 0) & (right >= 0), ranks[at], none)
+
+    def _join_rows(self, part, flat, begins, lengths, width, made, inner, final, none, out) -> None:
+        size = lengths[part]
+        column = np.arange(width)
+        inside = column < size[:, None]
+        table = np.full((len(part), width + 1), -1, np.int64)
+        bytes_ = flat[np.minimum(begins[part][:, None] + column, len(flat) - 1)]
+        table[:, :-1] = np.where(inside, np.where(column == size[:, None] - 1, final[bytes_], inner[bytes_]), -1)
+        ranks = self._ranks_of(table[:, :-1], table[:, 1:], none)
+        live = np.arange(len(part))
+        done = np.empty_like(table)
+        while len(live):
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(live)), at]
+            more = best < none
+            if not more.all():
+                done[live[~more]] = table[~more]
+                live, table, ranks, at, best = live[more], table[more], ranks[more], at[more], best[more]
+                if not len(live):
+                    break
+            row = np.arange(len(live))
+            table[row, at] = made[best]
+            shift = column >= at[:, None] + 1
+            table[:, :-1] = np.where(shift, table[:, 1:], table[:, :-1])
+            ranks[:, :-1] = np.where(shift[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = none
+            ranks[row, at] = self._ranks_of(table[row, at], table[row, at + 1], none)
+            before = np.maximum(at - 1, 0)
+            ranks[row, before] = np.where(at > 0, self._ranks_of(table[row, before], table[row, at], none), ranks[row, before])
+        counts = (done >= 0).sum(1)
+        ids = done.astype("<u4")
+        for i, w in enumerate(part.tolist()):
+            out[w] = ids[i, :counts[i]].tobytes()
+
     def symbols(self, word: str) -> list[int]:
         data = word.encode("utf-8")
         return [*(self.inner[b] for b in data[:-1]), self.final[data[-1]]]
@@ -180,24 +243,27 @@ class WordStream:
         self.held, self.last, self.before = [], [0], -1
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    return np.fromiter(ids, "<u4").tobytes()
+
+
 class _Words(dict):
-    """Token ids of runs without white space met so far; forgets all when it is full."""
+    """Token ids, as packed 32-bit numbers, of runs without white space met so far; forgets all when it is full."""
 
     def __init__(self, merges: Merges):
         super().__init__()
         self.merges = merges
-        self.short: dict[str, tuple[int, ...]] = {}  # the same for words of the pattern
+        self.short: dict[str, bytes] = {}  # the same for words of the tokenizer's pattern
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        parts = ANY_TEXT.findall(_normalised(word))
-        ids = tuple(chain.from_iterable(map(self.encode, parts)))
-        if len(word) < LONG_WORD:
+    def __missing__(self, run: str) -> bytes:
+        ids = b"".join(map(self.encode, _parts(run)))
+        if len(run) < LONG_WORD:
             if len(self) >= WORDS_KEPT:
                 self.clear()
-            self[word] = ids
+            self[run] = ids
         return ids
 
-    def encode(self, word: str) -> tuple[int, ...]:
+    def encode(self, word: str) -> bytes:
         """One word of the tokenizer's pattern, which gets the word-end mark."""
         ids = self.short.get(word)
         if ids is not None:
@@ -205,12 +271,26 @@ class _Words(dict):
         symbols = self.merges.symbols(word)
         if len(symbols) >= LONG_WORD:
             stream = WordStream(self.merges)
-            return (*chain.from_iterable(map(stream.push, symbols)), *stream.close())
+            return _packed([*chain.from_iterable(map(stream.push, symbols)), *stream.close()])
+        return self._keep(word, _packed(self.merges.join(symbols)))
+
+    def _keep(self, word: str, ids: bytes) -> bytes:
         if len(self.short) >= WORDS_KEPT:
             self.short.clear()
-        self.short[word] = ids = tuple(self.merges.join(symbols))
+        self.short[word] = ids
         return ids
 
+    def learn(self, runs: Iterable[str]) -> None:
+        """Encode the new words of many runs together."""
+        if len(self) > WORDS_KEPT:
+            self.clear()
+        if len(self.short) > WORDS_KEPT:
+            self.short.clear()
+        new = {run: _parts(run) for run in runs if run not in self and len(run) < LONG_WORD // 4}
+        words = list(set(chain.from_iterable(new.values())) - self.short.keys())
+        self.short.update(zip(words, self.merges.join_many(words)))
+        self.update((run, b"".join(map(self.short.__getitem__, parts))) for run, parts in new.items())
+
 
 class Transducer:
     """Text to token ids and back, for a tokenizer file with byte symbols and a word suffix."""
@@ -230,20 +310,18 @@ class Transducer:
 
     # --- encoding ---
 
-    def _plain(self, text: str) -> Iterator[int]:
+    def _plain(self, text: str) -> Iterator[bytes]:
         """A text without special tokens, in pieces that end behind white space; a longer
         run without any is one piece."""
         start, n = 0, len(text)
         while start < n:
             space = WHITE_RUN.search(text, min(start + PIECE, n))
             end = space.end() if space else n
-            for run in WHITE_RUN.split(text[start:end]):
-                if run:
-                    yield from self.words[run]
+            yield from (self.words[run] for run in WHITE_RUN.split(text[start:end]) if run)
             start = end
 
-    def stream(self, text: str | None) -> Iterator[int]:
-        """Token ids of a text, emitted as they become final; none for NULL."""
+    def stream(self, text: str | None) -> Iterator[bytes]:
+        """Packed token ids of a text, emitted as they become final; none for NULL."""
         if not text:
             return
         if self._split is None or "<" not in text:
@@ -251,15 +329,24 @@ class Transducer:
             return
         for part in self._split.split(text):
             if part in self.special:
-                yield self.special[part]
+                yield _packed([self.special[part]])
             elif part:
                 yield from self._plain(part)
 
+    def packed(self, text: str | None) -> bytes:
+        """All ids of a text, as little-endian 32-bit numbers."""
+        if _is_plain(text):
+            return b"".join(map(self.words.__getitem__, text.split()))
+        return b"".join(self.stream(text))
+
     def encode(self, text: str | None) -> list[int]:
         """All ids of a text."""
-        if text and len(text) <= PIECE and "<" not in text and not NO_SPACE.search(text):
-            return list(chain.from_iterable(map(self.words.__getitem__, text.split())))
-        return list(self.stream(text))
+        return np.frombuffer(self.packed(text), "<u4").tolist()
+
+    def packed_batch(self, texts: list[str | None]) -> list[bytes]:
+        """``packed`` of several texts; words not met before are encoded together."""
+        self.words.learn(set().union(*(t.split() for t in texts if _is_plain(t))))
+        return [self.packed(t) for t in texts]
 
     # --- decoding ---
 
@@ -295,6 +382,21 @@ def _normalised(text: str) -> str:
     return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
 
 
+def _is_plain(text: str | None) -> bool:
+    """Whether white space alone parts a text, and it is one piece."""
+    return bool(text) and len(text) <= PIECE and "<" not in text and not NO_SPACE.search(text)
+
+
+def _parts(run: str) -> list[str]:
+    """Words of the tokenizer's pattern in a run without white space."""
+    run = run.lower() if run.isascii() else _normalised(run)
+    if run.isalpha():
+        return [run]
+    if run[-1] in ".,;:!?" and run[:-1].isalpha():
+        return [run[:-1], run[-1]]
+    return ANY_TEXT.findall(run)
+
+
 @lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
     """One transducer per Python worker and file."""

@@ -29,9 +29,10 @@ def document_pieces(documents: DataFrame, tokenizer: str, window: int = WINDOW,
         for part, texts in text_batches(batches):
             docs = part.column(0).to_pylist()
             out = []
-            for doc, text in zip(docs, texts):
-                ids = np.array([*machine.encode(text), end_id], dtype="<u4")
-                out += [(doc, s, min(window, len(ids) - s), zlib.crc32(ids[s:s + window].tobytes()), len(ids)) for s in range(0, len(ids), window)]
+            for doc, ids in zip(docs, machine.packed_batch(texts)):
+                ids += end_id.to_bytes(4, "little")
+                n = len(ids) // 4
+                out += [(doc, s, min(window, n - s), zlib.crc32(ids[4 * s:4 * (s + window)]), n) for s in range(0, n, window)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 

@@ -45,11 +45,11 @@ def tokenize(documents: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         machine = transducer(tokenizer)
         for part, texts in text_batches(batches):
-            ids = [machine.encode(t) for t in texts]
+            ids = [np.frombuffer(p, "<u4") for p in machine.packed_batch(texts)]
             offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            flat = np.fromiter((x for i in ids for x in i), np.int32, int(offsets[-1]))
+            flat = np.concatenate(ids).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([machine.decode(i) for i in ids], pa.string())],
+                [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([machine.decode(i.tolist()) for i in ids], pa.string())],
                 ["doc_id", "token_ids", "decoded"])
 
     rows = documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
