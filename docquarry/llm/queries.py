@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.exact import exact_duplicates
 from docquarry.llm.fingerprints import fingerprint_documents
+from docquarry.llm.fixity import audit
 from docquarry.llm.near import near_duplicates
 from docquarry.llm.packing import pack_documents
 from docquarry.llm.paragraphs import repeated_paragraphs
 from docquarry.llm.quality import fit_quality, fold, score_quality
 from docquarry.llm.tokens import tokenize
 from docquarry.llm.toxicity import fit_toxicity, score_toxicity
+from docquarry.llm.url_lists import filter_captures, host_of
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -34,6 +36,60 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+PAGES_SQL = """
+expected AS (SELECT 'crawl-' || (page_id // 1000) AS namespace, page_id AS chunk_index, url, html FROM pages),
+replica AS (
+  SELECT namespace, CASE WHEN chunk_index % 47 = 13 THEN chunk_index + 500 ELSE chunk_index END AS chunk_index, url, CASE WHEN chunk_index % 37 = 5 THEN html || ' ' ELSE html END AS html
+  FROM expected WHERE chunk_index % 41 <> 7
+  UNION ALL SELECT namespace, chunk_index, url, html FROM expected WHERE chunk_index % 43 = 11)"""
+
+
+@query(f"""WITH {PAGES_SQL},
+a AS (SELECT namespace, chunk_index, count(*) AS n, string_agg(url || chr(1) || html, chr(2) ORDER BY url, html) AS c FROM expected GROUP BY ALL),
+b AS (SELECT namespace, chunk_index, count(*) AS n, string_agg(url || chr(1) || html, chr(2) ORDER BY url, html) AS c FROM replica GROUP BY ALL)
+SELECT namespace, chunk_index, CASE WHEN b.n IS NULL THEN 'missing' WHEN a.n IS NULL THEN 'extra' ELSE 'changed' END AS status, coalesce(a.n, 0) AS expected_records, coalesce(b.n, 0) AS found_records
+FROM a FULL JOIN b USING (namespace, chunk_index) WHERE a.c IS DISTINCT FROM b.c""")
+def op1_fixity(spark, folder):
+    """Pages as archives of records, audited against a replica with altered, lost, doubled and moved records."""
+    pages = table(spark, folder, "pages")
+    expected = pages.select(F.concat(F.lit("crawl-"), F.expr("page_id div 1000")).alias("namespace"), F.col("url").alias("chunk_id"), F.col("page_id").alias("chunk_index"), F.col("html").alias("text"))
+    at = F.col("chunk_index")
+    replica = expected.filter(at % 41 != 7).withColumns({"text": F.when(at % 37 == 5, F.concat("text", F.lit(" "))).otherwise(F.col("text")), "chunk_index": F.when(at % 47 == 13, at + 500).otherwise(at)})
+    return audit(expected, replica.unionByName(expected.filter(at % 43 == 11)))
+
+
+LISTS_SQL = """
+captures AS (SELECT page_id, url, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:@]+)', 1), '') AS host, 1704067200 + page_id * 86413 % 31536000 AS t FROM pages),
+domains AS (SELECT DISTINCT 'malware' AS list_name, host AS domain FROM captures UNION SELECT 'adult', regexp_replace(host, '^[^.]+\\.', '') FROM captures),
+coded AS (SELECT list_name, domain, ('0x' || substr(md5(domain), 1, 4))::BIGINT AS x FROM domains),
+entries AS (
+  SELECT list_name, domain, 'add' AS action, 1704067200 + x % 300 * 86400 AS t FROM coded UNION ALL
+  SELECT list_name, domain, 'remove', 1704067200 + (x % 300 + 20 + x % 50) * 86400 FROM coded WHERE x % 3 > 0 UNION ALL
+  SELECT list_name, domain, 'add', 1704067200 + 350 * 86400 FROM coded WHERE x % 5 = 0),
+spans AS (SELECT list_name, domain, action, t AS since, lead(t) OVER (PARTITION BY list_name, domain ORDER BY t) AS until FROM entries)"""
+
+
+@query(f"""WITH {LISTS_SQL}
+SELECT c.page_id, c.url, c.host, coalesce(string_agg(DISTINCT s.list_name, ',' ORDER BY s.list_name), '') AS lists, count(s.list_name) > 0 AS blocked
+FROM captures c LEFT JOIN spans s ON s.action = 'add' AND (c.host = s.domain OR ends_with(c.host, '.' || s.domain)) AND c.t >= s.since AND (s.until IS NULL OR c.t < s.until)
+GROUP BY c.page_id, c.url, c.host""")
+def op6_url_lists(spark, folder):
+    """Pages as captures at times that follow from their ids; dated lists of their hosts and parent domains."""
+    start = 1704067200
+    pages = table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("source"), F.timestamp_seconds(start + F.col("page_id") * 86413 % 31536000).alias("fetched_at"))
+    host = pages.select(host_of(F.col("source")).alias("host")).filter("host IS NOT NULL")
+    domains = host.select(F.lit("malware").alias("list_name"), F.col("host").alias("domain")).union(host.select(F.lit("adult"), F.regexp_replace("host", r"^[^.]+\.", ""))).distinct()
+    x = F.conv(F.substring(F.md5("domain"), 1, 4), 16, 10).cast("bigint")
+    day = lambda days: F.timestamp_seconds(start + days * 86400)
+    events = F.array(
+        F.struct(F.lit("add").alias("action"), day(x % 300).alias("listed_at")),
+        F.when(x % 3 > 0, F.struct(F.lit("remove").alias("action"), day(x % 300 + 20 + x % 50).alias("listed_at"))),
+        F.when(x % 5 == 0, F.struct(F.lit("add").alias("action"), day(F.lit(350)).alias("listed_at"))))
+    entries = domains.select("list_name", "domain", F.explode(events).alias("e")).filter("e IS NOT NULL").select("list_name", "domain", "e.action", "e.listed_at")
+    found = filter_captures(pages, entries)
+    return found.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), "host", F.array_join("lists", ",").alias("lists"), "blocked")
+
+
 @query()
 def op2_bpe(spark, folder):
     """Ids and decoded text of every document, as digests."""
