@@ -169,11 +169,11 @@ def repeated_paragraphs(documents: DataFrame, percent: int = 75, recall: float =
     return hits.select("doc_id", "keep_doc_id", "component_id", "whole_line", "paragraph", "start", "length", "n_words")
 
 
-def without_paragraphs(documents: DataFrame, removed: DataFrame) -> DataFrame:
+def without_paragraphs(documents: DataFrame, removed: DataFrame, drop_emptied: bool = False) -> DataFrame:
     """``documents`` with the spans of ``removed(doc_id, start, length)`` cut out of ``text``.
 
-    All columns stay; ``n_chars`` is counted anew where there is one. Only documents with a
-    span are shuffled."""
+    All columns stay; ``n_chars`` is counted anew where there is one. With ``drop_emptied`` documents
+    go of which only white space is left. Only documents with a span are shuffled."""
     spans = removed.groupBy(F.col("doc_id").cast("bigint").alias("__id")).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("__spans"))
     spans = stored(spans)
     texts = documents.withColumn("__id", F.col("doc_id").cast("bigint"))
@@ -190,5 +190,7 @@ def without_paragraphs(documents: DataFrame, removed: DataFrame) -> DataFrame:
     cleaned = touched.withColumn("text", folded)
     if "n_chars" in documents.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    rest = texts.join(F.broadcast(ids) if ids.limit(1_000_001).count() <= 1_000_000 else ids, "__id", "left_anti")
+    if drop_emptied:
+        cleaned = cleaned.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    rest = rows_of(texts, ids, "__id", how="left_anti")
     return rest.select(documents.columns).unionAll(cleaned.select(documents.columns))

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docquarry.llm.exact import exact_duplicates
 from docquarry.llm.fingerprints import fingerprint_documents
 from docquarry.llm.fixity import audit
@@ -139,3 +140,9 @@ def op9_toxicity(spark, folder):
     documents = table(spark, folder, "documents")
     scored = score_toxicity(documents, fit_toxicity(documents, table(spark, folder, "labels")))
     return scored.select("doc_id", fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, folder):
+    """The corpus pipeline from raw documents to packed sequences."""
+    return corpus_pipeline.run(spark, folder)

@@ -36,10 +36,10 @@ def stored(df: DataFrame) -> DataFrame:
 BROADCAST_IDS = 2_000_000
 
 
-def rows_of(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_IDS) -> DataFrame:
-    """Rows of ``df`` whose key is in ``ids`` (one column ``key``, distinct).
+def rows_of(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_IDS, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids`` (one column ``key``), or is not (``left_anti``).
 
     A counted list of at most ``limit`` ids of a fixed 8 bytes goes to all tasks, so
     texts stay where they are; a longer one is joined by a shuffle."""
     small = ids.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
+    return df.join(F.broadcast(ids) if small else ids, key, how)
