@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,12 +21,12 @@ SALTS = 64
 @dataclass(frozen=True)
 class MinHash:
     """``bands`` of ``rows`` minima each; a pair of similarity s shares a band with probability
-    1 - (1 - s^rows)^bands, at 0.75 all but 3e-7 with 40 bands of 4 rows. The same minima,
-    folded into ``bits`` parities, are the odd sketch."""
+    1 - (1 - s^rows)^bands, at 0.75 all but 3e-7 with 40 bands of 4 rows. The odd sketch folds
+    other samples, the smallest item of each of ``bits`` bins, into ``bits`` parities."""
 
     bands: int = 40
     rows: int = 4
-    bits: int = 512
+    bits: int = 1024
     seed: int = 7
 
     def __post_init__(self):
@@ -49,18 +48,26 @@ class MinHash:
             total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + column)
         return total
 
-    def sketch(self, minima: np.ndarray) -> np.ndarray:
-        """Odd sketch: bit i is the parity of the minima that hash to i."""
-        places = mixed(minima + np.arange(len(minima), dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) % np.uint64(self.bits)
+    def sketch(self, items: np.ndarray) -> np.ndarray:
+        """Odd sketch of sorted items: bit i is the parity of the samples that hash to i. The sample of
+        a bin is its smallest item, so two sets of similarity s have it in common with probability s."""
+        _, first = np.unique(mixed(items + np.uint64(1)) % np.uint64(self.bits), return_index=True)
+        places = mixed(items[first] ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(self.bits)
         odd = np.bincount(places.astype(np.int64), minlength=self.bits) & 1
         return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-    def most_different(self, similarity: float) -> int:
-        """Number of different sketch bits that a pair of at least ``similarity`` all but never exceeds:
-        the expectation plus 5.5 standard deviations of the differing minima."""
-        n = len(self.factors)
-        differing = n * (1 - similarity) + 5.5 * math.sqrt(n * similarity * (1 - similarity))
-        return math.ceil(self.bits / 2 * (1 - math.exp(-4 * differing / self.bits)))
+    def most_different(self, a: Column, b: Column, similarity: float) -> Column:
+        """Sketch bits in which sets of ``a`` and ``b`` items and of at least ``similarity`` may differ.
+
+        A bin whose smallest item is not common changes one sample, or two if the other set has an
+        item there. Samples that differ come as an expectation plus five standard deviations; of
+        d samples at most d bits are odd, and on average bits / 2 * (1 - exp(-2 d / bits))."""
+        total, bins = (a + b).cast("double"), float(self.bits)
+        filled = bins * (1 - F.exp(-total / ((1 + similarity) * bins)))
+        both = 1 - F.exp(-total / (2 * bins))
+        samples = filled * (1 - similarity) * (1 + both) + 10 * both * F.sqrt(filled * similarity * (1 - similarity))
+        share = (1 - F.exp(-2 * samples / bins)) / 2
+        return F.least(samples, bins * share + 5 * F.sqrt(bins * share * (1 - share))) + 1
 
 
 def signatures(texts: DataFrame, scheme: MinHash) -> DataFrame:
@@ -76,7 +83,7 @@ def signatures(texts: DataFrame, scheme: MinHash) -> DataFrame:
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 minima = scheme.minima(found)
                 keys.append(scheme.keys(minima))
-                sketches.append(scheme.sketch(minima))
+                sketches.append(scheme.sketch(found))
             lists = [pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * np.int32(len(x[0])), pa.array(np.concatenate(x).view(np.int64))) for x in (keys, sketches)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), *lists], ["item", "n_shingles", "digest", "keys", "sketch"])
 
@@ -91,6 +98,13 @@ def different_bits(a: str, b: str, words: int) -> Column:
     return total
 
 
+def may_be_similar(a: str, b: str, scheme: MinHash, similarity: float) -> Column:
+    """Whether sizes (n) and odd sketches (sketch) of two items allow the similarity."""
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    sizes = F.least(n, m) >= similarity * F.greatest(n, m)
+    return sizes & (different_bits(f"sketch{a}", f"sketch{b}", scheme.bits // 64) <= scheme.most_different(n, m, similarity))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, repeated: bool = False) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= ``percent`` * union of their full shingle sets.
 
@@ -129,26 +143,26 @@ def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percen
     components whose sketches are near are compared too, so that a link is skipped only where
     both ends are joined already. No pair within a component is ever written.
     """
-    words, most = scheme.bits // 64, scheme.most_different(percent / 100)
+    similarity = percent / 100
     bands = signed.filter("n_shingles > 0").select("item", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("item").alias("first"), F.max("item").alias("last")).filter("first < last")
     met = stored(bands.join(shared.select("key", "first"), "key").select("key", "item", "first").distinct())
-    sketches = stored(rows_of(signed.select("item", "sketch"), met.select("item").distinct(), "item").groupBy("item").agg(F.first("sketch").alias("sketch")))
-
-    def near(pairs):
-        both = pairs.join(sketches.withColumnsRenamed({"item": "a", "sketch": "sa"}), "a").join(sketches.withColumnsRenamed({"item": "b", "sketch": "sb"}), "b")
-        return both.withColumn("bits", different_bits("sa", "sb", words)).filter(F.col("bits") <= most)
-
-    stars = near(met.filter("item <> first").select(F.col("first").alias("a"), F.col("item").alias("b")).distinct())
-    stars = stars.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    sketches = rows_of(signed.select("item", F.col("n_shingles").alias("n"), "sketch"), met.select("item").distinct(), "item")
+    sketches = stored(sketches.groupBy("item").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    one, two = (sketches.withColumnsRenamed({"item": c, "n": f"n{c}", "sketch": f"sketch{c}"}) for c in ("a", "b"))
+
+    stars = met.filter("item <> first").select(F.col("first").alias("a"), F.col("item").alias("b")).distinct()
+    stars = stars.join(one, "a").join(two, "b").filter(may_be_similar("a", "b", scheme, similarity))
+    bits = different_bits("sketcha", "sketchb", scheme.bits // 64)
+    stars = stars.groupBy("b").agg(F.min(F.struct(bits.alias("bits"), "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     edges = stored(confirmed(stored(stars), texts, percent, repeated))
     joined = stored(components(edges))
     labels = met.join(joined.withColumnRenamed("node", "item"), "item", "left").select("key", "item", F.coalesce("component", "item").alias("label"))
     labels = stored(labels)
     split = labels.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
     rows = labels.join(split, "key").join(sketches, "item")
-    left, right = (rows.select("key", *(F.col(c).alias(c + s) for c in ("item", "label", "sketch"))) for s in ("1", "2"))
-    across = left.join(right, "key").filter((F.col("item1") < F.col("item2")) & (F.col("label1") != F.col("label2")) & (different_bits("sketch1", "sketch2", words) <= most))
+    left, right = (rows.select("key", *(F.col(c).alias(c + s) for c in ("item", "label", "n", "sketch"))) for s in ("1", "2"))
+    across = left.join(right, "key").filter((F.col("item1") < F.col("item2")) & (F.col("label1") != F.col("label2")) & may_be_similar("1", "2", scheme, similarity))
     more = stored(across.select(F.col("item1").alias("a"), F.col("item2").alias("b")).distinct())
     if more.isEmpty():
         return joined
@@ -170,7 +184,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, scheme: MinHash = M
     texts = documents.select(F.col("doc_id").cast("bigint").alias("item"), F.col("text").cast("string").alias("text"))
     signed = stored(signatures(texts, scheme))
     sets = signed.filter("n_shingles > 0 AND item IS NOT NULL").groupBy("digest").agg(F.min("item").alias("first"))
-    members = stored(signed.select("item", "n_shingles", "digest").join(sets, "digest", "left").select("item", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).alias("first")))
+    members = stored(signed.select("item", "n_shingles", "digest").join(sets, "digest", "left").select("item", "n_shingles", F.when(F.expr("n_shingles > 0 AND item IS NOT NULL"), F.col("first")).alias("first")))
     distinct = members.filter("first IS NOT NULL").select(F.col("first").alias("item")).distinct()
     joined = near_components(stored(signed.join(distinct, "item", "left_semi")), texts.filter("item IS NOT NULL"), scheme, percent)
     links = joined.withColumnRenamed("node", "first")

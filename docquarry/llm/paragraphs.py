@@ -23,7 +23,7 @@ NEWLINE = ord("\n")
 
 def tuned(similarity: float, recall: float, rows: int = 2) -> MinHash:
     """The fewest bands of ``rows`` minima that find a pair of ``similarity`` with ``recall``."""
-    return MinHash(math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)), rows, 64)
+    return MinHash(math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)), rows, 256)
 
 
 def _lines(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
