@@ -42,18 +42,23 @@ class MinHash:
         return out
 
     def keys(self, minima: np.ndarray) -> np.ndarray:
-        """One 64-bit key per band, different between bands."""
+        """One 64-bit key per band, different between bands, for each row of minima."""
         total = np.arange(1, self.bands + 1, dtype=np.uint64)
-        for column in minima.reshape(self.bands, self.rows).T:
+        for column in np.moveaxis(minima.reshape(*minima.shape[:-1], self.bands, self.rows), -1, 0):
             total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + column)
         return total
 
+    def bins(self, items: np.ndarray) -> np.ndarray:
+        return (mixed(items + np.uint64(1)) % np.uint64(self.bits)).astype(np.int64)
+
+    def places(self, samples: np.ndarray) -> np.ndarray:
+        return (mixed(samples ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(self.bits)).astype(np.int64)
+
     def sketch(self, items: np.ndarray) -> np.ndarray:
         """Odd sketch of sorted items: bit i is the parity of the samples that hash to i. The sample of
         a bin is its smallest item, so two sets of similarity s have it in common with probability s."""
-        _, first = np.unique(mixed(items + np.uint64(1)) % np.uint64(self.bits), return_index=True)
-        places = mixed(items[first] ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(self.bits)
-        odd = np.bincount(places.astype(np.int64), minlength=self.bits) & 1
+        _, first = np.unique(self.bins(items), return_index=True)
+        odd = np.bincount(self.places(items[first]), minlength=self.bits) & 1
         return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
     def most_different(self, a: Column, b: Column, similarity: float) -> Column:
@@ -70,6 +75,9 @@ class MinHash:
         return F.least(samples, bins * share + 5 * F.sqrt(bins * share * (1 - share))) + 1
 
 
+SIGNED = "item bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch array<bigint>"
+
+
 def signatures(texts: DataFrame, scheme: MinHash) -> DataFrame:
     """``texts(item, text)`` -> item, n_shingles, digest of the shingle set, band keys, odd sketch."""
 
@@ -87,7 +95,7 @@ def signatures(texts: DataFrame, scheme: MinHash) -> DataFrame:
             lists = [pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * np.int32(len(x[0])), pa.array(np.concatenate(x).view(np.int64))) for x in (keys, sketches)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), *lists], ["item", "n_shingles", "digest", "keys", "sketch"])
 
-    return texts.select("item", "text").mapInArrow(run, "item bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch array<bigint>")
+    return texts.select("item", "text").mapInArrow(run, SIGNED)
 
 
 def different_bits(a: str, b: str, words: int) -> Column:

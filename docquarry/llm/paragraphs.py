@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.near import MinHash, near_components, signatures
+from docquarry.llm.near import SIGNED, MinHash, near_components
 from docquarry.llm.store import rows_of, stored
 from docquarry.llm.tokens import text_batches
-from docquarry.llm.words import PLACES, STEP, Words, mixed, shingle_set
+from docquarry.llm.words import PLACES, SHINGLE, Words, mixed
 
 LEAST_WORDS = 8  # of a sentence paragraph
 PASSAGE_WORDS = 25  # repeated in a row, before anything is removed
@@ -21,7 +21,7 @@ ENDS[[ord(c) for c in ".!?:;|"]] = True
 NEWLINE = ord("\n")
 
 
-def tuned(similarity: float, recall: float, rows: int = 2) -> MinHash:
+def tuned(similarity: float, recall: float, rows: int = 3) -> MinHash:
     """The fewest bands of ``rows`` minima that find a pair of ``similarity`` with ``recall``."""
     return MinHash(math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)), rows, 256)
 
@@ -66,7 +66,7 @@ PARAGRAPHS = "doc_id bigint, whole_line boolean, paragraph bigint, start bigint,
 def paragraphs(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``documents(doc_id, text)`` -> its lines and its sentence paragraphs of at least ``least_words`` words,
     numbered from 0 each, with ``start`` and ``length`` in characters up to the next one, and
-    ``item``: a hash of the words (of a line: of its set of shingles)."""
+    ``item``: a hash of the words."""
 
     def run(batches):
         for part, _ in text_batches(batches, values=False):
@@ -78,21 +78,19 @@ def paragraphs(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
                 if whole:
                     text, starts, ends = _lines(words.data, words.bounds)
                     first, last = np.searchsorted(words.starts, [starts, ends])
-                    items = np.array([_set_hash(words.hashes[a:b]) for a, b in zip(first, last)], np.uint64)
                 else:
                     first, text = _sentences(words, least_words)
                     last = np.append(first[1:], len(words.starts))
                     starts = words.starts[first] if len(first) else np.empty(0, np.int64)
                     following = np.append(starts[1:], len(words.data))
                     ends = np.minimum(following, words.bounds[text + 1]) if len(first) else following[:0]
-                    items = _run_hashes(words.hashes, first)
                 keep = np.flatnonzero(last - first >= least_words)
                 number = np.zeros(len(text), np.int64)
                 number[keep] = np.arange(len(keep)) - np.searchsorted(text[keep], text[keep])
-                origin = signs[words.bounds[text]] if len(text) else np.empty(0, np.int64)
-                columns = [number, signs[starts] - origin, signs[ends] - signs[starts], last - first, items.view(np.int64)]
+                number, text, starts, ends, first, last = (x[keep] for x in (number, text, starts, ends, first, last))
+                columns = [number, signs[starts] - signs[words.bounds[text]], signs[ends] - signs[starts], last - first, span_hashes(words.hashes, first, last)]
                 out.append(pa.RecordBatch.from_arrays(
-                    [docs.take(pa.array(text[keep])), pa.array(np.full(len(keep), whole)), *(pa.array(c[keep].astype(np.int64)) for c in columns)],
+                    [docs.take(pa.array(text)), pa.array(np.full(len(keep), whole)), *(pa.array(c.astype(np.int64)) for c in columns)],
                     ["doc_id", "whole_line", "paragraph", "start", "length", "n_words", "item"]))
             yield from out
 
@@ -100,20 +98,60 @@ def paragraphs(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     return rows.mapInArrow(run, PARAGRAPHS)
 
 
-def _set_hash(words: np.ndarray) -> np.uint64:
-    found = shingle_set(words)
-    powers = np.multiply.accumulate(np.full(len(found), STEP)) if len(found) else found
-    return mixed((found * powers).sum(keepdims=True) + np.uint64(len(found)))[0]
+def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of runs from ``first`` on, the place of each within its run, and where the runs begin."""
+    begins = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) - np.repeat(begins, count)
+    return np.repeat(first, count) + place, place, begins
 
 
-def _run_hashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hash of each run of words that starts at ``first``."""
+def span_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of each run of words; no run is empty."""
     if not len(first):
         return np.empty(0, np.uint64)
-    lengths = np.diff(np.append(first, len(hashes)))
-    place = np.arange(len(hashes)) - np.repeat(first, lengths)
-    powers = np.multiply.accumulate(np.full(int(lengths.max()) + 1, PLACES[0]))
-    return mixed(np.add.reduceat(hashes * powers[place], first) + lengths.astype(np.uint64))
+    at, place, begins = _spread(first, last - first)
+    powers = np.multiply.accumulate(np.full(int(place.max()) + 1, PLACES[0]))
+    return mixed(np.add.reduceat(hashes[at] * powers[place], begins) + (last - first).astype(np.uint64))
+
+
+def _long_lines(words: Words, least: int) -> tuple[np.ndarray, ...]:
+    """Start and end in bytes, first and last word, of the different lines of at least ``least`` words, and their items."""
+    _, starts, ends = _lines(words.data, words.bounds)
+    first, last = np.searchsorted(words.starts, [starts, ends])
+    keep = last - first >= least
+    starts, ends, first, last = starts[keep], ends[keep], first[keep], last[keep]
+    items, once = np.unique(span_hashes(words.hashes, first, last), return_index=True)
+    return starts[once], ends[once], first[once], last[once], items
+
+
+def line_signatures(documents: DataFrame, scheme: MinHash, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``signatures`` of the lines of at least ``least_words`` (five or more) words, for all lines of a batch at once."""
+
+    def run(batches):
+        for part, _ in text_batches(batches, values=False):
+            words = Words(part.column(0))
+            _, _, first, last, items = _long_lines(words, least_words)
+            n = len(items)
+            if not n:
+                continue
+            flat = sum(words.hashes[k:len(words.hashes) - SHINGLE + 1 + k] * PLACES[k] for k in range(SHINGLE))
+            at, _, begins = _spread(first, last - first - SHINGLE + 1)
+            shingles, line = mixed(flat[at]), np.repeat(np.arange(n), last - first - SHINGLE + 1)
+            minima = np.stack([np.minimum.reduceat(shingles * f + s, begins) for f, s in zip(scheme.factors, scheme.shifts)], 1)
+            keys = scheme.keys(minima)
+            # The smallest shingle of each bin of each line, and the number of different ones.
+            cell = line * scheme.bits + scheme.bins(shingles)
+            order = np.lexsort((shingles, cell))
+            cell, sorted_ = cell[order], shingles[order]
+            new = np.append(True, cell[1:] != cell[:-1])
+            count = np.bincount(line[order][new | np.append(True, sorted_[1:] != sorted_[:-1])], minlength=n)
+            places = (cell[new] // scheme.bits) * scheme.bits + scheme.places(sorted_[new])
+            odd = np.bincount(places, minlength=n * scheme.bits) & 1
+            sketches = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(len(x) // n)), pa.array(x)) for x in (keys.ravel().view(np.int64), sketches)]
+            yield pa.RecordBatch.from_arrays([pa.array(items.view(np.int64)), pa.array(count), pa.nulls(n, pa.binary()), *lists], ["item", "n_shingles", "digest", "keys", "sketch"])
+
+    return documents.selectExpr("cast(text as string) text").mapInArrow(run, SIGNED)
 
 
 def line_texts(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -122,12 +160,9 @@ def line_texts(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     def run(batches):
         for part, _ in text_batches(batches, values=False):
             words = Words(part.column(0))
-            _, starts, ends = _lines(words.data, words.bounds)
-            first, last = np.searchsorted(words.starts, [starts, ends])
-            keep = np.flatnonzero(last - first >= least_words)
-            items = np.array([_set_hash(words.hashes[first[k]:last[k]]) for k in keep], np.uint64).view(np.int64)
-            text = [words.data[starts[k]:ends[k]].tobytes().decode("utf-8", "replace") for k in keep]
-            yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(text, pa.string())], ["item", "text"])
+            starts, ends, _, _, items = _long_lines(words, least_words)
+            text = [words.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(items.view(np.int64)), pa.array(text, pa.string())], ["item", "text"])
 
     return documents.selectExpr("cast(text as string) text").mapInArrow(run, "item bigint, text string")
 
@@ -152,7 +187,7 @@ def repeated_paragraphs(documents: DataFrame, percent: int = 75, recall: float =
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     scheme = tuned(percent / 100, recall)
     lines = line_texts(documents, least_words)
-    near = near_components(stored(signatures(lines, scheme)), lines, scheme, percent, repeated=True)
+    near = near_components(stored(line_signatures(documents, scheme, least_words)), lines, scheme, percent, repeated=True)
     found = paragraphs(documents, least_words)
     named = near.withColumnsRenamed({"node": "item", "component": "component_id"})
     # Documents of each item, then of each cluster; items of one document and no similar line drop out here.
