@@ -128,7 +128,7 @@ SELECT query_id, array_to_string(terms, '|') AS terms, array_to_string(list_conc
 @query(_enrich_sql())
 def query_terms(spark, folder):
     df = _questions(spark, folder).withColumn("terms", ex.enriched_terms(F.col("question")))
-    return df.select("query_id", F.array_join("terms", "|").alias("terms"), F.array_join(ex.search_terms(F.col("terms")), "|").alias("used"))
+    return df.select("query_id", F.array_join("terms", "|").alias("terms"), F.array_join(ex.search_terms(F.col("terms"), 3, 5), "|").alias("used"))
 
 
 @query(f"""

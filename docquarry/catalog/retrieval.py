@@ -100,14 +100,14 @@ def cell_topk(spark, folder):
 # --- chunks of documents, asked by benchmark texts ---------------------------------------
 
 def question_terms(spark, folder) -> DataFrame:
-    """Benchmark questions with their search terms: the first distinct words."""
+    """Benchmark questions with their search terms: all distinct words."""
     return benchmark_questions(spark, folder).withColumn("terms", search_terms(F.array_distinct(words(F.lower("question")))))
 
 
 _TERMS = f"""
 {QUESTIONS_SQL}, w AS (SELECT query_id, namespace, t, min(i) AS i FROM (
   SELECT query_id, namespace, unnest({sql_words('lower(question)')}) AS t, generate_subscripts({sql_words('lower(question)')}, 1) AS i FROM questions) GROUP BY ALL),
-terms AS (SELECT * FROM (SELECT *, regexp_matches(t, '[0-9]') AS d, row_number() OVER (PARTITION BY query_id, regexp_matches(t, '[0-9]') ORDER BY i) AS n FROM w) WHERE n <= CASE WHEN d THEN 3 ELSE 5 END)"""
+terms AS (SELECT * FROM w)"""
 _KEYWORD = f"""
 kw AS (SELECT query_id, chunk_id, (1.0 - (rank_position - 1) * 0.01)::DOUBLE * confidence_score AS score, rank_position FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence_score DESC, chunk_index, chunk_id) AS rank_position FROM (
@@ -290,7 +290,7 @@ def filtered_search(spark, folder):
 # --- several searches per question -----------------------------------------------------------
 
 _HALVES = f"""halves AS (SELECT query_id || '#' || h AS query_id, namespace, array_to_string(CASE h WHEN 0 THEN ws[1:len(ws) // 2] ELSE ws[len(ws) // 2 + 1:] END, ' ') AS question
-  FROM (SELECT *, {sql_words('question')} AS ws FROM (SELECT item_id || '@' || ns AS query_id, ns AS namespace, text AS question FROM benchmark, (VALUES ('de'), ('en'), ('es'), ('fr')) v(ns))), (VALUES (0), (1)) x(h))"""
+  FROM (SELECT *, {sql_words('question')} AS ws FROM (SELECT item_id || '@' || ns AS query_id, ns AS namespace, text AS question FROM benchmark, (SELECT DISTINCT lang AS ns FROM documents) v)), (VALUES (0), (1)) x(h))"""
 
 
 @query(f"""WITH {CHUNKS_SQL}, {_HALVES}, {_SEMANTIC.replace('questions', 'halves')},

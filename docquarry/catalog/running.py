@@ -95,19 +95,26 @@ def success_counts(spark, folder):
     return stats.success_counts(e, ["user_id"])
 
 
-@query("""SELECT user_id AS request_id, count(*) FILTER (event_type <> 'error') AS successful_queries, (count(*) FILTER (event_type = 'error') * 10)::BIGINT AS failed_queries,
-  sum(CASE WHEN event_type <> 'error' THEN event_id % 7 ELSE 0 END)::BIGINT AS document_chunks, sum(CASE WHEN event_type <> 'error' THEN event_id % 3 ELSE 0 END)::BIGINT AS tables_extracted,
-  coalesce(string_agg(event_type, '|' ORDER BY event_id), '') AS document_namespaces, coalesce(string_agg(CASE WHEN event_type = 'error' THEN props END, '|' ORDER BY event_id), '') AS error_details,
-  string_agg(props || '|' || event_type, '|' ORDER BY event_id) AS answers FROM events GROUP BY user_id""")
-def request_totals(spark, folder):
+def request_rows(spark, folder):
     """Events as documents of a request per user; error events failed with ten questions."""
     e = table(spark, folder, "events")
-    rows = e.select(
+    return e.select(
         F.col("user_id").alias("request_id"), F.col("event_id").alias("document_order"), F.when(F.col("event_type") == "error", F.col("props")).alias("error_message"),
         F.lit(1).alias("successful"), F.lit(0).alias("failed"), F.lit(10).alias("questions"), (F.col("event_id") % 7).alias("chunks"), (F.col("event_id") % 3).alias("tables"),
         F.col("event_type").alias("namespace"), F.array("props", "event_type").alias("answers"))
-    out = stats.request_totals(rows)
-    return out.withColumns({c: F.array_join(c, "|") for c in ("document_namespaces", "error_details", "answers")})
+
+
+@query("""SELECT user_id AS request_id, count(*) FILTER (event_type <> 'error') AS successful_queries, (count(*) FILTER (event_type = 'error') * 10)::BIGINT AS failed_queries,
+  sum(CASE WHEN event_type <> 'error' THEN event_id % 7 ELSE 0 END)::BIGINT AS document_chunks, sum(CASE WHEN event_type <> 'error' THEN event_id % 3 ELSE 0 END)::BIGINT AS tables_extracted,
+  count(event_type) AS documents, count(*) FILTER (event_type = 'error' AND props IS NOT NULL) AS errors FROM events GROUP BY user_id""")
+def request_totals(spark, folder):
+    return stats.request_totals(request_rows(spark, folder))
+
+
+@query("""SELECT user_id AS request_id, event_id AS document_order, n AS answer_order, event_type AS document_namespace, CASE WHEN event_type = 'error' THEN props END AS error_detail,
+  CASE n WHEN 0 THEN props ELSE event_type END AS answer FROM events, (VALUES (0::BIGINT), (1::BIGINT)) v(n)""")
+def request_details(spark, folder):
+    return stats.request_details(request_rows(spark, folder))
 
 
 @query("""SELECT event_type, count(*) AS total_requests, sum(event_id % 100)::BIGINT AS total_tokens, round(count(*) FILTER (user_id % 2 = 0) * 100.0::DOUBLE / count(*), 2) AS cache_hit_rate_percent,
@@ -140,6 +147,8 @@ def _scratch(spark) -> str:
     """A new folder below the cluster's checkpoint folder; a local one only in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix="docquarry-")
     return f"{base.rstrip('/')}/docquarry-{spark.sql('SELECT uuid()').first()[0]}"
 

@@ -226,8 +226,9 @@ def ingest_stats(spark, folder):
 
 @query()
 def stored_chunk_stats(spark, folder):
-    """The same statistics by aggregation of the chunk table."""
-    return stats.processing_stats(ing.chunks(_prepared(spark, folder)))
+    """The same statistics by aggregation of the chunk table, for every document."""
+    prepared = _prepared(spark, folder)
+    return stats.processing_stats(ing.chunks(prepared), prepared.select("namespace", "doc_id"))
 
 
 @query(f"SELECT doc_id, len({sql_words('text')}) AS tokens, len({sql_words('text')}) > 200 AS too_long, element_at(x, len(x)) AS file_name FROM (SELECT doc_id, text, string_split(source || '/' || lang || '.txt', '/') AS x FROM documents)".replace("element_at(x, len(x))", "x[len(x)]"))

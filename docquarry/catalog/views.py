@@ -17,7 +17,7 @@ from docquarry.scale import cut_lineage, spread_small
 
 COMPANIES = [("English", ["the"]), ("French", ["le"]), ("German", ["der"]), ("Spanish", ["que"])]
 TYPES = [("Article", ["the", "le", "der", "el"]), ("Preposition", ["of", "de", "von", "por"]), ("Joiner", ["and", "et", "und", "y"])]
-MIN_CHARS = 50
+MIN_CHARS = 0  # a line is the unit here; only blank ones are no chunk
 TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
@@ -40,7 +40,7 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def chunk_view(spark: SparkSession, folder: str) -> DataFrame:
-    """One chunk per long line of every document, with document metadata."""
+    """One chunk per line of every document, with document metadata."""
     docs = table(spark, folder, "documents").withColumn("_best", company_hits(F.col("text"), COMPANIES)).withColumns({
         "company_name": F.when(F.col("_best.score") > 0, F.col("_best.name")), "confidence_score": F.least(F.col("_best.score") / 10, F.lit(1.0))})
     docs = docs.withColumn("policy_type", policy_type(F.col("text"), TYPES))
@@ -61,8 +61,8 @@ def stored_chunk_view(spark: SparkSession, folder: str) -> DataFrame:
 def benchmark_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Every benchmark text asked in every language namespace."""
     items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("question"))
-    spaces = F.array(*[F.lit(n) for n in ("de", "en", "es", "fr")])
-    asked = items.withColumn("namespace", F.explode(spaces))
+    spaces = table(spark, folder, "documents").select(F.col("lang").alias("namespace")).distinct()
+    asked = spaces.crossJoin(items)  # languages by questions: the set that is asked
     return asked.select(F.concat_ws("@", F.col("item_id").cast("string"), "namespace").alias("query_id"), "namespace", "question")
 
 
@@ -138,7 +138,7 @@ chunk AS (SELECT *, doc_id || '_' || chunk_index AS chunk_id FROM chunks)
 """
 QUESTIONS_SQL = """
 questions AS (
-  SELECT item_id || '@' || ns AS query_id, ns AS namespace, text AS question FROM benchmark, (VALUES ('de'), ('en'), ('es'), ('fr')) v(ns))
+  SELECT item_id || '@' || ns AS query_id, ns AS namespace, text AS question FROM benchmark, (SELECT DISTINCT lang AS ns FROM documents) v)
 """
 TURNS_SQL = "turns AS (SELECT conv_id || '/' || turn AS query_id, text AS question FROM conversations WHERE role = 'user')"
 

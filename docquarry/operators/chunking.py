@@ -117,10 +117,10 @@ def greedy_chunks(df: DataFrame, keys=("doc_id",), text: str = "text", separator
 
 def with_pieces(df: DataFrame, separator: str = "\n\n", target: int = lx.TARGET_TOKENS, maximum: int = lx.MAX_TOKENS,
                 min_section: int = 20, min_preamble: int = 20, min_paragraph: int = 50, min_fallback: int = 50,
-                fallback_below: int = 50, fallback_headers: int = 100, count=word_count) -> DataFrame:
+                fallback_below: int = 50, fallback_headers: int = 100, count=word_count, starts=lx.ITEM_STARTS) -> DataFrame:
     """Add ``pieces``: section chunks with preamble and fallback, or paragraph chunks
-    when the document has no headers, then table chunks. Needs ``lines``,
-    ``headers`` and ``table_blocks``."""
+    when the document has no headers, then table chunks. Sections of definitions and
+    exclusions become one chunk per item. Needs ``lines``, ``headers`` and ``table_blocks``."""
     lines, headers = F.col("lines"), F.col("headers")
 
     def section_piece(h: Column) -> Column:
@@ -132,8 +132,16 @@ def with_pieces(df: DataFrame, separator: str = "\n\n", target: int = lx.TARGET_
 
         return let(line_range(lines, h["content_start"], h["content_end"]), build)
 
+    def parts(p: Column) -> Column:
+        """Items of a section of definitions or exclusions, each subdivided like any section."""
+        items = F.transform(_typed_items(p["text"], p["section_type"], starts), lambda t: _with(
+            p, text=t, chunk_type=F.when(p["section_type"] == "definitions", F.lit("definition")).otherwise(F.lit("exclusion")),
+            is_definition=p["section_type"] == "definitions", is_exclusion=p["section_type"] == "exclusions"))
+        itemised = F.coalesce(p["section_type"].isin("definitions", "exclusions"), F.lit(False))
+        return let(F.when(itemised & (F.size(items) > 0), items).otherwise(F.array(p)), lambda a: F.flatten(F.transform(a, lambda x: _subdivide(x, separator, target, maximum, count))))
+
     bodies = F.filter(F.transform(headers, section_piece), lambda p: F.length(p["text"]) >= min_section)
-    df = df.withColumn("_sections", F.flatten(F.transform(bodies, lambda p: _subdivide(p, separator, target, maximum, count))))
+    df = df.withColumn("_sections", F.flatten(F.transform(bodies, parts)))
 
     first = F.try_element_at(headers, F.lit(1))["line"]
     preamble = line_range(lines, F.lit(0), first - 1)
@@ -212,6 +220,12 @@ def item_texts(text: Column, patterns, ignore_case: bool = False) -> Column:
     return F.filter(items, lambda t: t != "")
 
 
+def _typed_items(text: Column, section_type: Column, starts) -> Column:
+    """Items of sections of definitions and exclusions; none of other sections."""
+    return F.when(section_type == "definitions", item_texts(text, starts["definitions"], ignore_case=True)).when(
+        section_type == "exclusions", item_texts(text, starts["exclusions"])).otherwise(F.filter(F.array(text), lambda t: F.lit(False)))
+
+
 def section_items(df: DataFrame, keys=("doc_id",), text: str = "text", section_type: str = "section_type",
                   section_header: str = "section_header", starts=lx.ITEM_STARTS) -> DataFrame:
     """Definitions and exclusions one by one, other sections by enumerators and

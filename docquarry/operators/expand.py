@@ -51,11 +51,14 @@ def enriched_terms(question: Column, terms: Column | None = None, rules=lx.QUERY
     return F.when(F.size(base) > 0, F.concat(base, _appended(extra))).otherwise(lit_array([]))
 
 
-def search_terms(terms: Column, numeric: int = 3, other: int = 5) -> Column:
-    """The terms a keyword search uses: the first with digits, then the first without."""
+def search_terms(terms: Column, numeric: int | None = None, other: int | None = None) -> Column:
+    """The terms a keyword search uses: those with digits, then the others.
+
+    ``numeric`` and ``other`` keep the first so many of each, for results like those of a
+    search that bounds its predicate (3 and 5); by default all terms are searched."""
     digits = F.filter(terms, lambda t: t.rlike("[0-9]"))
     plain = F.filter(terms, lambda t: ~t.rlike("[0-9]"))
-    return F.concat(F.slice(digits, 1, numeric), F.slice(plain, 1, other))
+    return F.concat(digits if numeric is None else F.slice(digits, 1, numeric), plain if other is None else F.slice(plain, 1, other))
 
 
 def model_terms(reply: Column, limit: int = 8) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,8 +13,8 @@ def fresh(memo: DataFrame, now: Column) -> DataFrame:
 
     ``memo`` has key, payload, created_at and ttl_seconds."""
     alive = memo.filter(F.unix_micros("created_at") > F.unix_micros(now) - F.col("ttl_seconds") * F.lit(1_000_000))
-    latest = Window.partitionBy("key").orderBy(F.col("created_at").desc())
-    return alive.withColumn("_r", F.row_number().over(latest)).filter("_r = 1").drop("_r")
+    latest = F.max_by(F.struct(*memo.columns), F.struct("created_at", "payload"))
+    return alive.groupBy("key").agg(latest.alias("_row")).select("_row.*")
 
 
 def split_by_memo(items: DataFrame, memo: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -37,12 +37,12 @@ def compute_with_memo(items: DataFrame, memo: DataFrame, now: Column, compute: C
     return hits.unionByName(misses.join(computed, "key", "left"))
 
 
-def latest_versions(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
+def latest_versions(rows: DataFrame, keys: list[str], version: str, tie: str | None = None) -> DataFrame:
     """Upsert inside a frame: the row of the highest version per key.
 
     An aggregate and not a window: the maximum combines inside the tasks, so a key
-    with very many versions stays cheap."""
-    best = F.max_by(F.struct(*rows.columns), F.col(version))
+    with very many versions stays cheap. ``tie`` orders rows of equal version."""
+    best = F.max_by(F.struct(*rows.columns), F.struct(version, *([tie] if tie else [])))
     return rows.groupBy(*keys).agg(best.alias("_row")).select("_row.*")
 
 

@@ -99,10 +99,14 @@ def keyword_predicate(text: Column, keywords: Column, terms: Column, wildcards:
     return F.exists(terms, lambda t: F.contains(low, F.lower(t)) | F.contains(kw, F.lower(t)))
 
 
-def best_per_chunk(hits: DataFrame, k: int, keys=("query_id",), score: str = "score") -> DataFrame:
-    """Merge ranked result sets: best score per chunk, then top-k; earlier ranks win ties."""
-    merged = hits.groupBy(*keys, "chunk_id").agg(F.max(score).alias(score), F.min("rank_position").alias("_r"))
-    return top_k(merged, keys, [F.col(score).desc(), F.col("_r"), F.col("chunk_id")], k).drop("_r")
+def best_per_chunk(hits: DataFrame, k: int, keys=("query_id",), score: str = "score", per_query_k: str | None = None) -> DataFrame:
+    """Merge ranked result sets: best score per chunk, then top-k; earlier ranks win ties.
+
+    ``per_query_k`` names a column with the limit of each query, at most ``k``."""
+    limit = [F.max(per_query_k).alias(per_query_k)] if per_query_k else []
+    merged = hits.groupBy(*keys, "chunk_id").agg(F.max(score).alias(score), F.min("rank_position").alias("_r"), *limit)
+    ranked = top_k(merged, keys, [F.col(score).desc(), F.col("_r"), F.col("chunk_id")], per_query_k or k, bound=k).drop("_r")
+    return ranked.drop(per_query_k) if per_query_k else ranked
 
 
 def first_rank_per_chunk(hits: DataFrame) -> DataFrame:

@@ -41,8 +41,14 @@ def vector_counts(vectors: DataFrame) -> DataFrame:
     return per.withColumn("namespaces", F.lit(1).cast("bigint")).unionByName(total)
 
 
-def processing_stats(chunks: DataFrame) -> DataFrame:
-    """The per-document processing statistics from a stored chunk table."""
+def processing_stats(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """The per-document processing statistics from a stored chunk table.
+
+    With ``documents`` (namespace, doc_id) those without a chunk are counted too, as zeros."""
+    if documents is not None:
+        found = processing_stats(chunks)
+        counts = [c for c in found.columns if c not in ("namespace", "doc_id")]
+        return documents.select("namespace", "doc_id").join(found, ["namespace", "doc_id"], "left").select("namespace", "doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
     kind = lambda k: F.count_if(F.col("chunk_type") == k)
     return chunks.groupBy("namespace", "doc_id").agg(
         F.count(F.lit(1)).alias("total_chunks"), F.count_if(~F.col("is_table")).alias("text_chunks"),
@@ -59,18 +65,23 @@ def success_counts(answers: DataFrame, keys=("request_id",)) -> DataFrame:
 
 
 def request_totals(results: DataFrame) -> DataFrame:
-    """Per request over its documents: sums, and ordered lists of namespaces, errors and answers.
+    """Per request over its documents: sums and numbers of documents and errors.
 
-    A failed document counts all its questions as failed. Lists keep document order."""
+    A failed document counts all its questions as failed. Only sums are kept per request, so one
+    of any size combines inside the tasks; ``request_details`` has its rows."""
     ok = F.col("error_message").isNull()
-    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("document_order", F.col(c).alias("v"))))), lambda x: x["v"])
     return results.groupBy("request_id").agg(
         F.sum(F.when(ok, F.col("successful")).otherwise(0)).alias("successful_queries"),
         F.sum(F.when(ok, F.col("failed")).otherwise(F.col("questions"))).alias("failed_queries"),
         F.sum(F.when(ok, F.col("chunks")).otherwise(0)).alias("document_chunks"),
         F.sum(F.when(ok, F.col("tables")).otherwise(0)).alias("tables_extracted"),
-        ordered("namespace").alias("document_namespaces"), ordered("error_message").alias("error_details"),
-        F.flatten(ordered("answers")).alias("answers"))
+        F.count("namespace").alias("documents"), F.count("error_message").alias("errors"))
+
+
+def request_details(results: DataFrame) -> DataFrame:
+    """Namespaces, errors and answers of requests, one row per answer in document and answer order."""
+    rows = results.select("request_id", "document_order", F.col("namespace").alias("document_namespace"), F.col("error_message").alias("error_detail"), F.posexplode_outer("answers").alias("answer_order", "answer"))
+    return rows.select("request_id", "document_order", "answer_order", "document_namespace", "error_detail", "answer")
 
 
 def usage_stats(calls: DataFrame, price: float = lx.PRICE_PER_1K_TOKENS, keys=()) -> DataFrame:

@@ -211,17 +211,15 @@ def vector_top_k(
     return ranked.join(limits, "query_id").filter(F.col("rank_position") <= F.col("_k")).drop("_k")
 
 
-MAX_CELLS = 65_536
-
-
-def assign_cells(points: DataFrame, centroids: DataFrame, ids: str, vector: str, probes: int = 1) -> DataFrame:
+def assign_cells(points: DataFrame, centroids: DataFrame, ids: str, vector: str, probes: int = 1, max_cells: int = 65_536) -> DataFrame:
     """Points with their nearest ``probes`` cells: namespace, id, vector, cell, cell_rank.
 
-    ``centroids`` has cell and centroid; their number is a setting and is checked.
-    They travel as one broadcast row, so points are neither shuffled nor joined back.
+    ``centroids`` has cell and centroid; they travel as one broadcast row, so points are
+    neither shuffled nor joined back. ``max_cells`` is the number of them that executors have
+    the memory for; more are refused and never dropped.
     """
-    if centroids.limit(MAX_CELLS + 1).count() > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells")
+    if centroids.limit(max_cells + 1).count() > max_cells:
+        raise ValueError(f"more than max_cells={max_cells} cells")
     table = F.sort_array(F.collect_list(F.struct(F.col("cell").cast("string").alias("cell"), F.col("centroid").cast("array<double>").alias("c"))))
     cells = centroids.agg(table.alias("t")).select(F.transform("t", lambda x: x["cell"]).alias("cells"), F.flatten(F.transform("t", lambda x: x["c"])).alias("centers"))
     blocks = pack_blocks(points.withColumn(vector, F.col(vector).cast("array<double>")), ids, vector, ["namespace"], "float64")

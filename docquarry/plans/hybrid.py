@@ -15,8 +15,6 @@ from docquarry.operators.vectors import vector_top_k
 from docquarry.scale import cut_lineage
 from docquarry.slots import hashed_embedding, score_pairs
 
-SEARCH_CAP, SUB_QUERY_CAP, FUSED_CAP, RERANK_CAP = 30, 20, 60, 40
-
 
 def plan_queries(queries: DataFrame, chunks: DataFrame, k: int, k_column: str | None, rules) -> DataFrame:
     """Questions with filters, strategy, k and the texts to search for."""
@@ -69,6 +67,9 @@ def hybrid_search(
     fallback_below: int = 5,
     context: str | None = "insurance",
     salts: int = 1,
+    sub_query_k: int | None = None,
+    fused_k: int | None = None,
+    rerank_k: int | None = None,
 ) -> DataFrame:
     """Re-ranked results per question.
 
@@ -77,20 +78,25 @@ def hybrid_search(
     the filter columns of the chunk. The same plan serves every strategy: a
     question becomes one or more search texts, lists are merged per question, and
     multi-query questions with too few candidates are searched again without filters.
+
+    ``sub_query_k`` bounds the list of each sub-query, ``fused_k`` the fused list and
+    ``rerank_k`` what the scorer sees; by default 20, 60 and 40, or more where ``k`` asks
+    for more. Lists are merged to the k of their question.
     """
+    sub_query_k, fused_k, rerank_k = sub_query_k or max(20, k), max(fused_k or 60, 2 * k), max(rerank_k or 40, k)
     q = cut_lineage(plan_queries(queries.withColumn("query_id", F.col("query_id").cast("string")), chunks, k, k_column, rules))
     filters = used_filters(q)
     multi = F.col("strategy") == "multi_query"
     sub = q.select("query_id", "namespace", "strategy", *[f"filter_{n}" for n in filters],
                    F.posexplode("search_texts").alias("_sub", "search_text"),
-                   F.when(multi, F.least("_k", F.lit(SUB_QUERY_CAP))).otherwise(F.least("_k", F.lit(SEARCH_CAP))).alias("_limit"))
+                   F.when(multi, F.least("_k", F.lit(sub_query_k))).otherwise(F.col("_k")).alias("_limit"))
     sub = sub.withColumn("query_id", F.concat_ws("\u0001", "query_id", F.col("_sub").cast("string"))).withColumnRenamed("_limit", "_k")
-    semantic = semantic_hits(sub, vectors, SEARCH_CAP, embedder, context, filters, salts)
-    keyword = search.keyword_top_k(sub.withColumn("terms", expand.search_terms(terms(F.col("search_text")))), chunks, SEARCH_CAP, per_query_k="_k", salts=salts)
+    semantic = semantic_hits(sub, vectors, k, embedder, context, filters, salts)
+    keyword = search.keyword_top_k(sub.withColumn("terms", expand.search_terms(terms(F.col("search_text")))), chunks, k, per_query_k="_k", salts=salts)
 
     def merged(hits: DataFrame) -> DataFrame:
         whole = hits.withColumn("query_id", F.split("query_id", "\u0001")[0])
-        return search.best_per_chunk(whole, SEARCH_CAP)
+        return search.best_per_chunk(whole.join(q.select("query_id", "_k"), "query_id"), k, per_query_k="_k")
 
     hits = merged(semantic).withColumn("side", F.lit("semantic")).unionByName(merged(keyword).withColumn("side", F.lit("keyword")))
     hits = cut_lineage(hits)
@@ -107,9 +113,9 @@ def hybrid_search(
     kept = hits.join(poor.select("query_id"), "query_id", "left_anti")
     side = lambda name: kept.filter(F.col("side") == name).drop("side")
     fused = search.reciprocal_rank_fusion(
-        side("semantic").unionByName(broad), side("keyword").unionByName(rescued), FUSED_CAP,
-        per_query_k=q.select("query_id", F.least(F.col("_k") * 2, F.lit(FUSED_CAP)).alias("_k")))
-    fused = fused.filter(F.col("rank_position") <= RERANK_CAP)
+        side("semantic").unionByName(broad), side("keyword").unionByName(rescued), fused_k,
+        per_query_k=q.select("query_id", F.least(F.col("_k") * 2, F.lit(fused_k)).alias("_k")))
+    fused = fused.filter(F.col("rank_position") <= rerank_k)
     full = search.attach_chunks(fused, chunks).join(q.select("query_id", "question", "namespace", "_k"), "query_id")
     scored = score_pairs(full, scorer)
     ranked = search.rerank_with_boost(scored.withColumn("combined_score", F.col("combined_score") * 0.3 + F.col("model_score") * 0.7), "_k", bound=k)

@@ -63,14 +63,16 @@ def _rewrite(spark: SparkSession, path: str, rows: DataFrame, touched: DataFrame
 
 
 def upsert(new: DataFrame, path: str, key: str = "chunk_id", version: str = "version", buckets: int = BUCKETS) -> None:
-    """Insert or replace by key; the higher version wins. Only touched buckets are rewritten."""
+    """Insert or replace by key; the higher version wins, and the new row if versions are equal.
+    Only touched buckets are rewritten."""
     spark = new.sparkSession
     if not exists(spark, path):
         _write(latest_versions(new, ["namespace", key], version), path, key, "overwrite", buckets)
         return
     touched = _buckets(new, buckets)
     old = spark.read.parquet(path).join(F.broadcast(touched), "ns_bucket", "left_semi").drop("ns_bucket")
-    merged = latest_versions(old.unionByName(new, allowMissingColumns=True), ["namespace", key], version)
+    rows = old.withColumn("_is_new", F.lit(0)).unionByName(new.withColumn("_is_new", F.lit(1)), allowMissingColumns=True)
+    merged = latest_versions(rows, ["namespace", key], version, tie="_is_new").drop("_is_new")
     _rewrite(spark, path, merged, touched, key, buckets)
 
 
