@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ NOT_LETTERS = re.compile(r"[\W_]+")
 WORDS_KEPT = 400_000  # that a task remembers
 #: Labelled documents the model is fitted on, at most; candidates for landmarks.
 LABELLED_ROWS, CANDIDATES = 20_000, 3_000
-SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
+SPELLED = 3  # words of one letter in a row that are one word
 SENTENCE_END = (".", "!", "?")
 
 
@@ -60,33 +61,55 @@ class Landmarks:
         self.strings = strings
         self.table = _letters(strings, LONGEST)
         self.own = subsequence_kernel(self.table, self.table)
-        self.masks = self._masks(self.table)
-        self.need = np.minimum(np.bitwise_count(self.masks), ORDER)
+        self.places = np.zeros((len(strings), 256), np.uint8)  # of each letter in each landmark, as bits
+        for row, codes in zip(self.places, self._codes(self.table)):
+            for place, code in enumerate(codes[codes > 0]):
+                row[code] |= 1 << place
+        self.sizes = [min(len(x), LONGEST) for x in strings]
 
     @staticmethod
-    def _masks(table: np.ndarray) -> np.ndarray:
-        bits = np.left_shift(np.uint64(1), (table % np.uint32(61)).astype(np.uint64))
-        return np.bitwise_or.reduce(np.where(table > 0, bits, np.uint64(0)), axis=1)
+    def _codes(table: np.ndarray) -> np.ndarray:
+        return np.where(table > 0, table % np.uint32(251) + np.uint32(1), 0).astype(np.uint8)
+
+    def _close(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words and landmarks with all but one of the landmark's letters, four at least, in common in
+        this order: the longest common subsequence, one bit per letter of the landmark."""
+        codes = np.ascontiguousarray(self._codes(table).T)
+        rows, columns = [], []
+        for k, (places, size) in enumerate(zip(self.places, self.sizes)):
+            state = np.full(codes.shape[1], 255, np.uint8)
+            for hit in places[codes]:
+                both = state & hit
+                state = (state + both) | (state - both)
+            common = size - np.bitwise_count(state & np.uint8((1 << size) - 1)).astype(int)
+            found = np.flatnonzero(common >= max(ORDER, size - 1))
+            rows.append(found)
+            columns.append(np.full(len(found), k))
+        return np.concatenate(rows), np.concatenate(columns)
 
     def kernel(self, words: list[str]) -> np.ndarray:
-        """One row per word, of its letters and digits only, one column per landmark. A pair with fewer common letters than a
-        subsequence needs is 0 without being computed."""
+        """One row per word, of its letters and digits only, one column per landmark. A pair that
+        does not share all but one of the landmark's letters, in order, counts as 0."""
         out = np.zeros((len(words), len(self.strings)), np.float32)
         pieces, owner = [], []
         for i, w in enumerate(words):
-            w = START + NOT_LETTERS.sub("", w)
-            for start in range(0, max(1, len(w) - OVERLAP), OVERLAP):
-                pieces.append(w[start:start + WORD])
+            w = START + (w if w.isalnum() else NOT_LETTERS.sub("", w))
+            if len(w) <= WORD:
+                pieces.append(w)
                 owner.append(i)
-        owner = np.array(owner)
-        table = _letters(pieces, WORD)
-        masks = self._masks(table)
+            else:
+                cuts = [w[start:start + WORD] for start in range(0, len(w) - OVERLAP, OVERLAP)]
+                pieces += cuts
+                owner += [i] * len(cuts)
+        owner, lengths = np.array(owner), np.array([len(w) for w in pieces])
+        order = np.argsort(lengths, kind="stable")  # words of like length share a table
         for begin in range(0, len(pieces), 4096):
-            common = np.bitwise_count(masks[begin:begin + 4096, None] & self.masks[None, :])
-            rows, columns = np.nonzero(common >= self.need)
+            part = order[begin:begin + 4096]
+            table = _letters([pieces[i] for i in part], int(lengths[part[-1]]))
+            rows, columns = self._close(table)
             for at in range(0, len(rows), 2048):
-                r, c = rows[at:at + 2048] + begin, columns[at:at + 2048]
-                np.maximum.at(out, (owner[r], c), subsequence_kernel(table[r], self.table[c]) / self.own[c])
+                r, c = rows[at:at + 2048], columns[at:at + 2048]
+                np.maximum.at(out, (owner[part[r]], c), subsequence_kernel(table[r], self.table[c]) / self.own[c])
         out[out < FAINT] = 0
         return np.minimum(out, 1.5) ** POWER
 
@@ -124,12 +147,16 @@ class Reader:
 
 
 def text_words(text: str | None) -> list[str]:
-    """Lower-case words between white space; letters that stand alone in a row are one word."""
-    if not text:
-        return []
-    if "\n" in text or " " in text:
-        text = SPELLED.sub(lambda m: re.sub(r"[ \t]", "", m.group()), text)
-    return text.lower().split()
+    """Lower-case words between white space; three or more words of one letter in a row are one word."""
+    words = text.lower().split() if text else []
+    single = np.fromiter(map(len, words), np.int64, len(words)) == 1
+    if not (single[2:] & single[1:-1] & single[:-2]).any():
+        return words
+    out: list[str] = []
+    for single, run in groupby(words, lambda w: len(w) == 1):
+        run = list(run)
+        out += ["".join(run)] if single and len(run) >= SPELLED else run
+    return out
 
 
 @dataclass
