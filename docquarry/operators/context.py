@@ -62,6 +62,12 @@ def context_analysis(results: DataFrame) -> DataFrame:
     return df.withColumn("primary_policy_uin", only("_uins")).withColumn("primary_company", only("_companies")).drop("_uins", "_companies")
 
 
+def context_sources(within: DataFrame) -> DataFrame:
+    """Chunk ids of each context in rank order; the budget bounds their number."""
+    ids = F.sort_array(F.collect_list(F.struct("rank_position", "chunk_id")))
+    return within.groupBy("query_id").agg(F.transform(ids, lambda x: x["chunk_id"]).alias("source_chunks"))
+
+
 def search_stats(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("total_results"), F.avg("semantic_score").alias("avg_semantic_score"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +21,15 @@ def pattern_terms(question: Column, rules=lx.EXPANSION["insurance"]) -> Column:
     return _appended([(contains_any(q, triggers), synonyms) for triggers, synonyms in rules])
 
 
+def per_domain(domain: Column, tables: Mapping[str, Sequence], build: Callable[[Sequence], Column], default: str = "insurance") -> Column:
+    """``build`` with the table of each row's domain; domains without a table get the default one."""
+    out = build(tables[default])
+    for name, table in tables.items():
+        if name != default:
+            out = F.when(F.lower(domain) == name, build(table)).otherwise(out)
+    return out
+
+
 def numeric_terms(question: Column, rules=lx.NUMERIC_EXPANSION) -> Column:
     q = F.lower(question)
     return _appended([(q.rlike("(?s)" + p), terms) for p, terms in rules])

@@ -37,10 +37,11 @@ def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, *, answere
     Questions without results get a fixed row with confidence 0."""
     q = prepare_questions(queries.withColumn("query_id", F.col("query_id").cast("string")))
     results = cut_lineage(hybrid_search(
-        q.select("query_id", "namespace", "question", "top_k", *[c for c in q.columns if c.startswith("user_")]),
-        chunks, vectors, k=k, k_column="top_k", **search))
+        q.select("query_id", "namespace", "question", "top_k", "domain", *[c for c in q.columns if c.startswith("user_")]),
+        chunks, vectors, k=k, k_column="top_k", domain_column="domain", **search))
     analysis = ctx.context_analysis(results)
-    context = ctx.structured_context(ctx.within_budget(results, budget))
+    within = ctx.within_budget(results, budget)
+    context = ctx.structured_context(within).join(ctx.context_sources(within), "query_id")
     stats = ctx.search_stats(results)
     best = results.filter(F.col("rank_position") == 1).select("query_id", F.col("text").alias("best_text"), F.col("final_score").alias("best_match_score"))
     ready = q.select("query_id", "namespace", "domain", "asked", "question").join(best, "query_id").join(context, "query_id")
@@ -48,7 +49,7 @@ def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, *, answere
     ready = ready.withColumn("prompt", F.concat(
         ctx.system_prompt(F.col("primary_policy_uin"), F.col("primary_company"), F.col("sections_involved"), F.col("content_types")),
         F.lit("\n"), ctx.user_prompt(F.col("asked"), F.col("context"))))
-    replied = answer_prompts(ready, answerer).withColumns({f"r_{n}": c for n, c in parse_reply(F.col("reply")).items()})
+    replied = answer_prompts(ready, answerer, sources="source_chunks", score="best_match_score").withColumns({f"r_{n}": c for n, c in parse_reply(F.col("reply")).items()})
     keep = ["primary_policy_uin", "primary_company", "sections_involved", "content_types", "search_precision", "metadata_completeness",
             "total_results", "avg_semantic_score", "avg_combined_score", "top_result_score", "best_match_score"]
     done = replied.select("query_id", *[c for c in replied.columns if c.startswith("r_")], *keep)

@@ -16,14 +16,20 @@ from docquarry.scale import cut_lineage
 from docquarry.slots import hashed_embedding, score_pairs
 
 
-def plan_queries(queries: DataFrame, chunks: DataFrame, k: int, k_column: str | None, rules) -> DataFrame:
-    """Questions with filters, strategy, k and the texts to search for."""
+def plan_queries(queries: DataFrame, chunks: DataFrame, k: int, k_column: str | None, rules, domain_column: str | None = None) -> DataFrame:
+    """Questions with filters, strategy, k and the texts to search for.
+
+    With ``domain_column`` the expansion rules are those of each question's domain."""
     q = search.effective_filters(merge_filters(with_intent(queries)), chunks)
     question = F.col("question")
+
+    def ruled(build) -> Column:
+        return expand.per_domain(F.col(domain_column), lx.EXPANSION, build) if domain_column else build(rules)
+
+    synonyms = ruled(lambda r: expand.pattern_terms(question, r))
     terms = F.when(F.col("strategy") == "original", expand.pattern_terms(F.lit(""), [])).when(
-        F.col("strategy") == "pattern", expand.pattern_terms(question, rules)).otherwise(
-        expand.distinct_terms(expand.pattern_terms(question, rules), expand.numeric_terms(question)))
-    multi = expand.strategy_sub_queries(question, F.col("strategy"), rules)
+        F.col("strategy") == "pattern", synonyms).otherwise(expand.distinct_terms(synonyms, expand.numeric_terms(question)))
+    multi = ruled(lambda r: expand.strategy_sub_queries(question, F.col("strategy"), r))
     texts = F.when(F.col("strategy") == "multi_query", multi).otherwise(F.array(expand.expanded_query(question, terms)))
     wanted = F.least(F.col(k_column), F.lit(k)) if k_column else F.lit(k)
     return q.withColumn("search_texts", texts).withColumn("_k", wanted.cast("int"))
@@ -43,9 +49,9 @@ def used_filters(q: DataFrame) -> list[str]:
     return [n for n in FILTERS if row[n]]
 
 
-def semantic_hits(q: DataFrame, vectors: DataFrame, k: int, embedder, context: str | None, filters: list[str], salts: int) -> DataFrame:
+def semantic_hits(q: DataFrame, vectors: DataFrame, k: int, embedder, context: Column | None, filters: list[str], salts: int) -> DataFrame:
     """Vector top-k of search rows (query_id, namespace, search_text, _k, filters)."""
-    text = query_with_context(F.col("search_text"), F.lit(context)) if context else F.col("search_text")
+    text = query_with_context(F.col("search_text"), context) if context is not None else F.col("search_text")
     q = embedder(q.withColumn("_t", text), "_t", "vector")
     return vector_top_k(
         q, vectors, k, per_query_k="_k", query_scope=["namespace", *[f"filter_{n}" for n in filters]],
@@ -70,6 +76,7 @@ def hybrid_search(
     sub_query_k: int | None = None,
     fused_k: int | None = None,
     rerank_k: int | None = None,
+    domain_column: str | None = None,
 ) -> DataFrame:
     """Re-ranked results per question.
 
@@ -81,13 +88,17 @@ def hybrid_search(
 
     ``sub_query_k`` bounds the list of each sub-query, ``fused_k`` the fused list and
     ``rerank_k`` what the scorer sees; by default 20, 60 and 40, or more where ``k`` asks
-    for more. Lists are merged to the k of their question.
+    for more. Lists are merged to the k of their question. ``domain_column`` names a column of
+    ``queries`` whose domain chooses rules and context per question, instead of ``rules`` and
+    ``context``.
     """
+    domain = [domain_column] if domain_column else []
+    context = F.col(domain_column) if domain_column else None if context is None else F.lit(context)
     sub_query_k, fused_k, rerank_k = sub_query_k or max(20, k), max(fused_k or 60, 2 * k), max(rerank_k or 40, k)
-    q = cut_lineage(plan_queries(queries.withColumn("query_id", F.col("query_id").cast("string")), chunks, k, k_column, rules))
+    q = cut_lineage(plan_queries(queries.withColumn("query_id", F.col("query_id").cast("string")), chunks, k, k_column, rules, domain_column))
     filters = used_filters(q)
     multi = F.col("strategy") == "multi_query"
-    sub = q.select("query_id", "namespace", "strategy", *[f"filter_{n}" for n in filters],
+    sub = q.select("query_id", "namespace", "strategy", *domain, *[f"filter_{n}" for n in filters],
                    F.posexplode("search_texts").alias("_sub", "search_text"),
                    F.when(multi, F.least("_k", F.lit(sub_query_k))).otherwise(F.col("_k")).alias("_limit"))
     sub = sub.withColumn("query_id", F.concat_ws("\u0001", "query_id", F.col("_sub").cast("string"))).withColumnRenamed("_limit", "_k")
@@ -104,7 +115,7 @@ def hybrid_search(
     found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     poor = q.join(found, "query_id", "left").filter(multi & (F.coalesce("_n", F.lit(0)) < fallback_below))
     poor = poor.withColumn("_k", F.col("_k") * 3).withColumn("search_text", F.col("question"))
-    again = poor.select("query_id", "namespace", "search_text", "_k")
+    again = poor.select("query_id", "namespace", "search_text", "_k", *domain)
     broad = semantic_hits(again, vectors, 3 * k, embedder, context, [], salts)
     own = search.keyword_top_k(again.withColumn("terms", expand.search_terms(terms(F.col("search_text")))), chunks, 3 * k, per_query_k="_k", salts=salts)
     extra = again.withColumn("terms", expand.search_terms(fallback_terms(F.col("search_text")))).withColumn("_k", (F.col("_k") * 2 / 3).cast("int"))

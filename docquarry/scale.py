@@ -6,17 +6,35 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 64 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when a bounded count proves the side small.
+def _width(f: T.StructField) -> Column:
+    """Bytes of a value: texts and arrays by their length, other types a fixed number."""
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, T.StringType):
+        size = F.octet_length(c)
+    elif isinstance(f.dataType, T.BinaryType):
+        size = F.length(c)
+    elif isinstance(f.dataType, T.ArrayType):
+        inner = F.octet_length(F.array_join(c, "")) if isinstance(f.dataType.elementType, T.StringType) else F.lit(0)
+        size = F.size(c) * 16 + inner
+    else:
+        size = F.lit(16)
+    return F.coalesce(size, F.lit(0)).cast("bigint") + 16
 
-    Beyond the bound the frame is returned without a hint: the same join then
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only when a bounded look proves the side small, in rows and bytes.
+
+    Beyond either bound the frame is returned without a hint: the same join then
     runs as a shuffled join, and adaptive execution splits its skewed keys.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    width = sum((_width(f) for f in df.schema.fields), F.lit(0).cast("bigint"))
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def top_k(

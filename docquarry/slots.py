@@ -88,13 +88,15 @@ def score_pairs(df: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Serie
 
 
 def answer_prompts(df: DataFrame, answerer: Callable[[pd.Series], list] | None = None, prompt: str = "prompt",
-                   fallback: str = "best_text", out: str = "reply") -> DataFrame:
+                   fallback: str = "best_text", out: str = "reply", sources: str | None = None, score: str | None = None) -> DataFrame:
     """Reply column by a user callable ``prompts -> replies``; without one the reply
-    is extractive: a JSON object that quotes the best text."""
+    is extractive: a JSON object that quotes the best text, with the chunk ids in column
+    ``sources`` and the score in column ``score``, limited to 0 to 1, as its confidence."""
     if answerer is None:
+        confidence = F.greatest(F.least(F.coalesce(F.col(score), F.lit(0.0)), F.lit(1.0)), F.lit(0.0)) if score else F.lit(1.0)
         quoted = F.to_json(F.struct(
-            F.col(fallback).alias("answer"), F.lit(1.0).alias("confidence"), F.lit("Best matching passage").alias("reasoning"),
-            lit_array([]).alias("sources")))
+            F.col(fallback).alias("answer"), confidence.alias("confidence"), F.lit("Best matching passage").alias("reasoning"),
+            (F.col(sources) if sources else lit_array([])).alias("sources")))
         return df.withColumn(out, quoted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
