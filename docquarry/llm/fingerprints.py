@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +78,8 @@ def _next_in_order(documents: DataFrame, ranges: int) -> DataFrame:
     """Rows (range, ahead, at, doc_id, text), so that within each range sorted by these each row is
     followed by the next document. A row that opens a range stands, as ``ahead``, also behind
     the range before; the very first behind the last one."""
+    from pyspark.ml.feature import Bucketizer  # on the driver only: tasks need no part of that package
+
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(LAST))).withColumn("at_double", F.col("at").cast("double"))
     cuts = rows.approxQuantile("at_double", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
