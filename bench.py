@@ -17,7 +17,7 @@ HEADLINE = [
     "vector_topk", "cell_topk", "semantic_topk", "keyword_topk", "rrf_fusion", "filtered_search", "multi_query_merge", "rerank_boost",
     "context_text", "ingest_chunks", "headers", "table_blocks", "greedy_chunks", "snap_window_chunks", "domain_score", "category_argmax",
     "text_stats", "key_phrase_top", "intent_rules", "pattern_expansion", "chunk_stats", "upsert_latest", "embedding_reuse",
-    "contrastive_pairs", "embedding_eval", "hybrid_search_full",
+    "contrastive_pairs", "embedding_eval", "hybrid_search_full", "answers", "stored_chunks",
 ]
 
 

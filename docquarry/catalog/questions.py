@@ -109,6 +109,21 @@ def pattern_expansion(spark, folder):
                      *[c.alias(n) for n, c in ex.search_flags(F.col("terms")).items()])
 
 
+_BY_DOMAIN = "CASE domain " + " ".join(f"WHEN {sql_text(d)} THEN {_append([(sql_any('low', ts), syn) for ts, syn in rules])}" for d, rules in lx.EXPANSION.items()) + f" ELSE {_PATTERN} END"
+_DOMAINS = [*lx.EXPANSION, "general"]
+
+
+@query(f"""
+WITH {_Q}, d AS (SELECT *, unnest({sql_list(_DOMAINS)}) AS domain, lower('Audit review of the contract, leave and waiting period: ' || question) AS low FROM q)
+SELECT query_id, domain, array_to_string({_BY_DOMAIN}, '|') AS terms FROM d""")
+def domain_expansion(spark, folder):
+    """Every question in every domain, expanded by the rules of that domain; others use the default rules."""
+    asked = F.concat(F.lit("Audit review of the contract, leave and waiting period: "), "question")
+    df = _questions(spark, folder).withColumn("question", asked).withColumn("domain", F.explode(F.array(*[F.lit(d) for d in _DOMAINS])))
+    terms = ex.per_domain(F.col("domain"), lx.EXPANSION, lambda rules: ex.pattern_terms(F.col("question"), rules))
+    return df.select("query_id", "domain", F.array_join(terms, "|").alias("terms"))
+
+
 @query(f"""
 WITH {_Q}, low AS (SELECT *, lower(question) AS low FROM q), t AS (SELECT query_id, {_PROCEDURAL}[1:8] AS procedural, {_HEALTH} AS h FROM low)
 SELECT query_id, array_to_string(procedural, '|') AS procedural, array_to_string({_ordered_distinct('h')}[1:10], '|') AS health FROM t""")

@@ -17,7 +17,7 @@ from docquarry.operators.expand import search_terms
 from docquarry.operators.intent import FILTERS
 from docquarry.plans.answer import answer
 from docquarry.plans.hybrid import block_filter, hybrid_search
-from docquarry.scale import cut_lineage
+from docquarry.scale import cut_lineage, write_once
 from docquarry.slots import hashed_embedding, score_pairs
 
 QUERIES, SQL = {}, {}
@@ -324,7 +324,7 @@ def fallback_search(spark, folder):
 def hybrid_search_full(spark, folder):
     """The whole hybrid search with intent, strategies, fallback and re-ranking."""
     chunks = stored_chunk_view(spark, folder)
-    v = cut_lineage(chunk_vectors(chunks, FILTERS))
+    v = write_once(chunk_vectors(chunks, FILTERS))
     out = hybrid_search(benchmark_questions(spark, folder), chunks, v, k=K, terms=lambda c: F.array_distinct(words(F.lower(c))))
     return out.select("query_id", "chunk_id", "semantic_score", "metadata_score", "model_score", "metadata_boost", "final_score", "rank_position")
 
@@ -333,7 +333,7 @@ def hybrid_search_full(spark, folder):
 def answers(spark, folder):
     """Questions to extractive answers with their analysis."""
     chunks = stored_chunk_view(spark, folder)
-    v = cut_lineage(chunk_vectors(chunks, FILTERS))
+    v = write_once(chunk_vectors(chunks, FILTERS))
     out = answer(benchmark_questions(spark, folder), chunks, v, terms=lambda c: F.array_distinct(words(F.lower(c))))
     lists = [F.array_join(c, "|").alias(c) for c in ("sources", "sections_involved", "content_types")]
     return out.select(*[c for c in out.columns if c not in ("sources", "sections_involved", "content_types")], *lists)

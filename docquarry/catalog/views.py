@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from docquarry.functions.text import words
 from docquarry.operators.chunking import paragraph_chunks
 from docquarry.operators.domain import company_hits, policy_type
-from docquarry.scale import cut_lineage, spread_small
+from docquarry.scale import spread_small, write_once
 
 COMPANIES = [("English", ["the"]), ("French", ["le"]), ("German", ["der"]), ("Spanish", ["que"])]
 TYPES = [("Article", ["the", "le", "der", "el"]), ("Preposition", ["of", "de", "von", "por"]), ("Joiner", ["and", "et", "und", "y"])]
@@ -55,7 +55,7 @@ def chunk_view(spark: SparkSession, folder: str) -> DataFrame:
 
 def stored_chunk_view(spark: SparkSession, folder: str) -> DataFrame:
     """The chunk view written once, as queries that read it several times need it."""
-    return cut_lineage(chunk_view(spark, folder))
+    return write_once(chunk_view(spark, folder))
 
 
 def benchmark_questions(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -100,3 +102,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def write_once(df: DataFrame) -> DataFrame:
+    """Write a large frame as Parquet in the shared checkpoint folder and read it again.
+
+    Unlike a checkpoint the copy is columnar: each reader gets its columns and filters only.
+    Without ``spark.checkpoint.dir`` a local session uses a temporary folder; a cluster must set it."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="docquarry-")
+    path = f"{folder.rstrip('/')}/docquarry-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
