@@ -164,7 +164,11 @@ def model_sub_queries(spark, folder):
     return table(spark, folder, "conversations").select("conv_id", "turn", F.array_join(ex.model_sub_queries(reply, F.col("text")), "|").alias("sub_queries"))
 
 
-@query()
+@query(_intent_sql() + """
+SELECT query_id, 'A reader of insurance documents asks: "' || question || '"' || chr(10) || CASE query_type
+  WHEN 'procedural' THEN 'Rewrite it as three searches, one per line, marked A) keywords, B) plain question, C) section titles.'
+  WHEN 'definition' THEN 'List terms and titles under which it may be defined, one per line.'
+  ELSE 'List five to eight related terms, one per line.' END AS prompt FROM c""")
 def expansion_prompts(spark, folder):
     q = F.col("question")
     return _questions(spark, folder).select("query_id", ctx.expansion_prompt(q, "insurance", it.query_type(q)).alias("prompt"))

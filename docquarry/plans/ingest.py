@@ -14,10 +14,13 @@ DOCUMENT = ["namespace", "doc_id", "file_name", "policy_uin", "company_name", "p
 
 
 def prepare(documents: DataFrame, *, namespace: Column | None = None, companies=lx.COMPANY_PATTERNS,
-            types=lx.POLICY_TYPE_TERMS, titles=lx.SECTION_TITLES["insurance"], headers=lx.HEADER_PATTERNS,
+            types=lx.POLICY_TYPE_TERMS, domain_name: str = "insurance", titles=None, headers=lx.HEADER_PATTERNS,
             separator: str = "\n\n", target: int = lx.TARGET_TOKENS, maximum: int = lx.MAX_TOKENS,
             min_paragraph: int = 50) -> DataFrame:
-    """Document rows with metadata, table blocks, headers and chunk pieces."""
+    """Document rows with metadata, table blocks, headers and chunk pieces.
+
+    Section titles are those of ``domain_name`` unless ``titles`` names others."""
+    titles = lx.SECTION_TITLES[domain_name] if titles is None else titles
     key = create_namespace(F.col("source")) if namespace is None else namespace
     df = domain.document_metadata(documents.withColumn("namespace", key), companies=companies, types=types)
     df = tables.with_tables(df.withColumn("lines", structure.split_lines(F.col("text"))))
