@@ -155,9 +155,9 @@ def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percen
     bands = signed.filter("n_shingles > 0").select("item", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("item").alias("first"), F.max("item").alias("last")).filter("first < last")
     met = stored(bands.join(shared.select("key", "first"), "key").select("key", "item", "first").distinct())
-    sketches = rows_of(signed.select("item", F.col("n_shingles").alias("n"), "sketch"), met.select("item").distinct(), "item")
-    sketches = stored(sketches.groupBy("item").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    one, two = (sketches.withColumnsRenamed({"item": c, "n": f"n{c}", "sketch": f"sketch{c}"}) for c in ("a", "b"))
+    sketches = rows_of(signed.select("item", F.col("n_shingles").alias("n"), "sketch", "keys"), met.select("item").distinct(), "item")
+    sketches = stored(sketches.groupBy("item").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "keys"))))
+    one, two = (sketches.drop("keys").withColumnsRenamed({"item": c, "n": f"n{c}", "sketch": f"sketch{c}"}) for c in ("a", "b"))
 
     stars = met.filter("item <> first").select(F.col("first").alias("a"), F.col("item").alias("b")).distinct()
     stars = stars.join(one, "a").join(two, "b").filter(may_be_similar("a", "b", scheme, similarity))
@@ -169,8 +169,9 @@ def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percen
     labels = stored(labels)
     split = labels.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
     rows = labels.join(split, "key").join(sketches, "item")
-    left, right = (rows.select("key", *(F.col(c).alias(c + s) for c in ("item", "label", "n", "sketch"))) for s in ("1", "2"))
-    across = left.join(right, "key").filter((F.col("item1") < F.col("item2")) & (F.col("label1") != F.col("label2")) & may_be_similar("1", "2", scheme, similarity))
+    left, right = (rows.select("key", *(F.col(c).alias(c + s) for c in ("item", "label", "n", "sketch", "keys"))) for s in ("1", "2"))
+    once = F.col("key") == F.array_min(F.array_intersect("keys1", "keys2"))  # a pair comes from one of its bands only
+    across = left.join(right, "key").filter((F.col("item1") < F.col("item2")) & (F.col("label1") != F.col("label2")) & may_be_similar("1", "2", scheme, similarity) & once)
     more = stored(across.select(F.col("item1").alias("a"), F.col("item2").alias("b")).distinct())
     if more.isEmpty():
         return joined
