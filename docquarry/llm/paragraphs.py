@@ -6,18 +6,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.near import SIGNED, MinHash, near_components
+from docquarry.llm.passages import repeated_passages, signs_before
 from docquarry.llm.store import rows_of, stored
 from docquarry.llm.tokens import text_batches
 from docquarry.llm.words import PLACES, SHINGLE, Words, mixed
 
-LEAST_WORDS = 8  # of a sentence paragraph
+LEAST_WORDS = 8  # of a line that is compared as a whole
 PASSAGE_WORDS = 25  # repeated in a row, before anything is removed
-ENDS = np.zeros(256, bool)
-ENDS[[ord(c) for c in ".!?:;|"]] = True
 NEWLINE = ord("\n")
 
 
@@ -36,63 +35,25 @@ def _lines(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return text, starts, ends
 
 
-def _sentences(words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word of each sentence paragraph, and the text it lies in.
-
-    A paragraph ends at a line end, or behind a word that ends a sentence or whose hash says so,
-    once it has ``least`` words. The places depend on the words only, so a passage is cut
-    alike wherever it is embedded."""
-    n = len(words.starts)
-    last = words.data[words.ends - 1]
-    gap = np.append(words.starts[1:], len(words.data))
-    lines = np.searchsorted(np.flatnonzero(words.data == NEWLINE), [words.ends, gap])
-    forced = lines[0] < lines[1]
-    forced[words.first[1:][words.first[1:] > 0] - 1] = True
-    may = forced | ENDS[last] | (words.hashes & np.uint64(15) == 0)
-    starts, begin = [], 0
-    for at in np.flatnonzero(may).tolist():
-        if forced[at] or at + 1 - begin >= least:
-            starts.append(begin)
-            begin = at + 1
-    if begin < n:
-        starts.append(begin)
-    starts = np.array(starts, np.int64)
-    return starts, np.searchsorted(words.first, starts, "right") - 1
-
-
 PARAGRAPHS = "doc_id bigint, whole_line boolean, paragraph bigint, start bigint, length bigint, n_words bigint, item bigint"
 
 
 def paragraphs(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``documents(doc_id, text)`` -> its lines and its sentence paragraphs of at least ``least_words`` words,
-    numbered from 0 each, with ``start`` and ``length`` in characters up to the next one, and
-    ``item``: a hash of the words."""
+    """``documents(doc_id, text)`` -> its lines of at least ``least_words`` words, numbered from 0, with
+    ``start`` and ``length`` in characters up to the next line, and ``item``: a hash of the words."""
 
     def run(batches):
         for part, _ in text_batches(batches, values=False):
             words = Words(part.column(1))
-            docs = part.column(0)
-            signs = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])  # characters before each byte
-            out = []
-            for whole in (True, False):
-                if whole:
-                    text, starts, ends = _lines(words.data, words.bounds)
-                    first, last = np.searchsorted(words.starts, [starts, ends])
-                else:
-                    first, text = _sentences(words, least_words)
-                    last = np.append(first[1:], len(words.starts))
-                    starts = words.starts[first] if len(first) else np.empty(0, np.int64)
-                    following = np.append(starts[1:], len(words.data))
-                    ends = np.minimum(following, words.bounds[text + 1]) if len(first) else following[:0]
-                keep = np.flatnonzero(last - first >= least_words)
-                number = np.zeros(len(text), np.int64)
-                number[keep] = np.arange(len(keep)) - np.searchsorted(text[keep], text[keep])
-                number, text, starts, ends, first, last = (x[keep] for x in (number, text, starts, ends, first, last))
-                columns = [number, signs[starts] - signs[words.bounds[text]], signs[ends] - signs[starts], last - first, span_hashes(words.hashes, first, last)]
-                out.append(pa.RecordBatch.from_arrays(
-                    [docs.take(pa.array(text)), pa.array(np.full(len(keep), whole)), *(pa.array(c.astype(np.int64)) for c in columns)],
-                    ["doc_id", "whole_line", "paragraph", "start", "length", "n_words", "item"]))
-            yield from out
+            signs = signs_before(words)
+            text, starts, ends = _lines(words.data, words.bounds)
+            first, last = np.searchsorted(words.starts, [starts, ends])
+            text, starts, ends, first, last = (x[last - first >= least_words] for x in (text, starts, ends, first, last))
+            number = np.arange(len(text)) - np.searchsorted(text, text)
+            columns = [number, signs[starts] - signs[words.bounds[text]], signs[ends] - signs[starts], last - first, span_hashes(words.hashes, first, last)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(text)), pa.array(np.full(len(text), True)), *(pa.array(c.astype(np.int64)) for c in columns)],
+                ["doc_id", "whole_line", "paragraph", "start", "length", "n_words", "item"])
 
     rows = documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
     return rows.mapInArrow(run, PARAGRAPHS)
@@ -174,11 +135,10 @@ def repeated_paragraphs(documents: DataFrame, percent: int = 75, recall: float =
     ``paragraph``, ``start``, ``length`` (characters), ``n_words``: one row per removed paragraph.
 
     Lines are paragraphs: bands tuned to ``recall`` join colliding lines, full shingle sets
-    confirm a Jaccard similarity of ``percent``, components are clusters. A passage may also lie
-    within longer lines; so sentence paragraphs, cut by their words alone, meet on all their
-    words. The smallest doc_id of a cluster keeps its paragraphs; in other documents a line, or
-    sentences in a row, of at least ``passage_words`` words go. Shorter repeats stay, as
-    do repeats within one document.
+    confirm a Jaccard similarity of ``percent``, components are clusters. The smallest doc_id of a
+    cluster keeps its lines; in other documents lines, if each has at least ``passage_words`` words, go.
+    Equal passages are found wherever they lie and however their lines are broken, see
+    ``repeated_passages``. Shorter repeats stay, as do repeats within one document.
 
     Equal paragraphs are combined before any pair is formed, so a passage of any number of
     documents is one item. NULL, empty and blank texts have no paragraphs; rows with a NULL
@@ -191,17 +151,14 @@ def repeated_paragraphs(documents: DataFrame, percent: int = 75, recall: float =
     found = paragraphs(documents, least_words)
     named = near.withColumnsRenamed({"node": "item", "component": "component_id"})
     # Documents of each item, then of each cluster; items of one document and no similar line drop out here.
-    items = found.groupBy("item", "whole_line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    items = items.join(named, "item", "left").withColumn("component_id", F.when(F.col("whole_line"), F.col("component_id")))
+    items = found.groupBy("item").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).join(named, "item", "left")
     items = stored(items.filter("first < last OR component_id IS NOT NULL").withColumn("component_id", F.coalesce("component_id", "item")))
-    clusters = items.groupBy("component_id", "whole_line").agg(F.min("first").alias("keep_doc_id"), F.max("last").alias("last")).filter("keep_doc_id < last").drop("last")
-    shared = stored(items.select("item", "whole_line", "component_id").join(clusters, ["component_id", "whole_line"]))
-    hits = rows_of(found, shared.select("item").distinct(), "item").distinct().join(shared, ["item", "whole_line"]).filter("doc_id > keep_doc_id")
-    order = Window.partitionBy("doc_id", "whole_line").orderBy("paragraph")
-    run = F.when(F.col("whole_line"), F.col("paragraph")).otherwise(F.col("paragraph") - F.row_number().over(order))
-    total = F.sum("n_words").over(Window.partitionBy("doc_id", "whole_line", "run"))
-    hits = hits.withColumn("run", run).withColumn("total", total).filter(F.col("total") >= passage_words)
-    return hits.select("doc_id", "keep_doc_id", "component_id", "whole_line", "paragraph", "start", "length", "n_words")
+    clusters = items.groupBy("component_id").agg(F.min("first").alias("keep_doc_id"), F.max("last").alias("last")).filter("keep_doc_id < last").drop("last")
+    shared = stored(items.select("item", "component_id").join(clusters, "component_id"))
+    hits = rows_of(found, shared.select("item").distinct(), "item").distinct().join(shared, "item").filter("doc_id > keep_doc_id")
+    hits = hits.filter(F.col("n_words") >= passage_words)
+    columns = ["doc_id", "keep_doc_id", "component_id", "whole_line", "paragraph", "start", "length", "n_words"]
+    return hits.select(columns).unionAll(repeated_passages(documents, passage_words).select(columns))
 
 
 def without_paragraphs(documents: DataFrame, removed: DataFrame, drop_emptied: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from docquarry.llm.components import components
 from docquarry.llm.exact import exact_duplicates
 from docquarry.llm.near import MinHash, near_duplicates
 from docquarry.llm.paragraphs import repeated_paragraphs, tuned, without_paragraphs
+from docquarry.llm.passages import repeated_passages
 
 SCHEMA = "doc_id bigint, text string, keep_id string, item string, key int, digest string, component string, start string, label int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -154,3 +155,51 @@ def test_repeated_passages_are_found_and_clean_documents_left(spark, passages):
     kept = without_paragraphs(docs, found, drop_emptied=True)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 1
     assert repeated_paragraphs(frame(spark, [])).count() == 0
+
+
+def removed_words(rows, found):
+    """Numbers of the removed words of each document."""
+    out = {i: set() for i, _ in rows}
+    for r in found:
+        text = dict(rows)[r.doc_id]
+        before = len(text[:r.start].split())
+        out[r.doc_id] |= set(range(before, before + len(text[r.start:r.start + r.length].split())))
+    return out
+
+
+def brute_passages(rows, least):
+    """Numbers of the words in runs of ``least`` words that a document before has, by comparing all runs."""
+    out, seen = {}, set()
+    for i, text in sorted(rows):
+        w = text.lower().split()
+        own = [(k, tuple(w[k:k + least])) for k in range(len(w) - least + 1)]
+        out[i] = {x for k, run in own if run in seen for x in range(k, k + least)}
+        seen |= {run for _, run in own}
+    return out
+
+
+def test_embedded_passages_are_removed_to_their_last_word(spark):
+    rng = random.Random(4)
+    rows = [(i, words(rng, rng.randint(150, 300))) for i in range(60)]
+    for i in range(1, 60):  # 24 to 80 words of an earlier text, which may hold words of others, at any place
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            own, other = rows[i][1].split(), rows[rng.randrange(i)][1].split()
+            n, at = rng.choice([24, 25, *range(51, 81)]), rng.randrange(len(own))
+            start = rng.randrange(len(other) - n)
+            rows[i] = i, " ".join(own[:at] + other[start:start + n] + own[at:])
+    for limit in (2_000_000, 5):  # the second joins by shuffles and takes several passes
+        found = repeated_passages(frame(spark, rows), 25, limit).collect()
+        assert removed_words(rows, found) == brute_passages(rows, 25)
+        for r in found:
+            part = " ".join(dict(rows)[r.doc_id][r.start:r.start + r.length].split())
+            assert part in dict(rows)[r.keep_doc_id] and r.n_words == len(part.split())
+
+
+def test_passages_of_short_lines_and_other_line_ends_are_removed(spark):
+    rng = random.Random(5)
+    w = words(rng, 60).split()
+    verse = "\n".join(" ".join(w[k:k + 6]) for k in range(0, 60, 6))
+    wrapped = "\n".join(" ".join(w[k:k + 11]) for k in range(0, 60, 11))
+    rows = [(i, "\n".join([words(rng, 40), part, words(rng, 5), words(rng, 30)])) for i, part in enumerate([verse, verse, wrapped, " ".join(w), words(rng, 60)])]
+    removed = removed_words(rows, repeated_paragraphs(frame(spark, rows)).collect())
+    assert removed == {i: set(range(40, 100)) if i in (1, 2, 3) else set() for i in range(5)}
