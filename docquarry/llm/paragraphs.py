@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.near import SIGNED, MinHash, near_components
@@ -136,7 +136,8 @@ def repeated_paragraphs(documents: DataFrame, percent: int = 75, recall: float =
 
     Lines are paragraphs: bands tuned to ``recall`` join colliding lines, full shingle sets
     confirm a Jaccard similarity of ``percent``, components are clusters. The smallest doc_id of a
-    cluster keeps its lines; in other documents lines, if each has at least ``passage_words`` words, go.
+    cluster keeps its lines; in other documents lines in a row, of at least ``passage_words`` words
+    together, go. Lines of fewer than ``least_words`` words between them are not counted.
     Equal passages are found wherever they lie and however their lines are broken, see
     ``repeated_passages``. Shorter repeats stay, as do repeats within one document.
 
@@ -156,7 +157,9 @@ def repeated_paragraphs(documents: DataFrame, percent: int = 75, recall: float =
     clusters = items.groupBy("component_id").agg(F.min("first").alias("keep_doc_id"), F.max("last").alias("last")).filter("keep_doc_id < last").drop("last")
     shared = stored(items.select("item", "component_id").join(clusters, "component_id"))
     hits = rows_of(found, shared.select("item").distinct(), "item").distinct().join(shared, "item").filter("doc_id > keep_doc_id")
-    hits = hits.filter(F.col("n_words") >= passage_words)
+    run = F.col("paragraph") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("paragraph"))
+    total = F.sum("n_words").over(Window.partitionBy("doc_id", "run"))
+    hits = hits.withColumn("run", run).withColumn("total", total).filter(F.col("total") >= passage_words)
     columns = ["doc_id", "keep_doc_id", "component_id", "whole_line", "paragraph", "start", "length", "n_words"]
     return hits.select(columns).unionAll(repeated_passages(documents, passage_words).select(columns))
 

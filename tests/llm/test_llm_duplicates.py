@@ -203,3 +203,12 @@ def test_passages_of_short_lines_and_other_line_ends_are_removed(spark):
     rows = [(i, "\n".join([words(rng, 40), part, words(rng, 5), words(rng, 30)])) for i, part in enumerate([verse, verse, wrapped, " ".join(w), words(rng, 60)])]
     removed = removed_words(rows, repeated_paragraphs(frame(spark, rows)).collect())
     assert removed == {i: set(range(40, 100)) if i in (1, 2, 3) else set() for i in range(5)}
+
+
+def test_near_lines_in_a_row_are_added_up(spark):
+    rng = random.Random(6)
+    lines = [words(rng, 23) for _ in range(10)]
+    near = [" ".join([*x.split()[:-1], words(rng, 1)]) for x in lines]  # 18 of 20 shingles are common
+    rows = [(1, "\n".join(lines)), (2, "\n".join([words(rng, 30), *near, words(rng, 30)])), (3, "\n".join([words(rng, 30), near[4], words(rng, 30)]))]
+    removed = removed_words(rows, repeated_paragraphs(frame(spark, rows)).filter("whole_line").collect())
+    assert removed == {1: set(), 2: set(range(30, 260)), 3: set()}
