@@ -19,7 +19,7 @@ ORDER, DECAY = 4, 0.75  # letters of a common subsequence; weight of each letter
 LANDMARKS, LONGEST = 64, 8
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 WORD, OVERLAP = 24, 12  # longer words are windows of 24 letters
-FAINT, POWER = 0.35, 3  # smaller kernel values count as 0; larger ones are raised, so that near misses count little
+FILLER = "x"  # inserted between letters in the gapped examples of the fit
 START = "^"  # stands before every word, so that its beginning is a letter too
 NOT_LETTERS = re.compile(r"[\W_]+")
 WORDS_KEPT = 400_000  # that a task remembers
@@ -110,8 +110,7 @@ class Landmarks:
             for at in range(0, len(rows), 2048):
                 r, c = rows[at:at + 2048], columns[at:at + 2048]
                 np.maximum.at(out, (owner[part[r]], c), subsequence_kernel(table[r], self.table[c]) / self.own[c])
-        out[out < FAINT] = 0
-        return np.minimum(out, 1.5) ** POWER
+        return np.minimum(out, 1.5)
 
 
 class Reader:
@@ -132,14 +131,15 @@ class Reader:
             self.rows.update((w, row if full else None) for w, row, full in zip(new, table, some))
 
     def sentences(self, words: list[str]) -> np.ndarray:
-        """Kernel of each sentence that has any against the landmarks: the sum over its words."""
+        """Kernel of each sentence that has any against the landmarks: the largest of its words. Faint
+        values of many words do not add up, so none needs to be cut off."""
         found = [(i, row) for i, row in enumerate(map(self.rows.get, words)) if row is not None]
         if not found:
             return self.none[None]
         out, last = [], -1
         for i, row in found:
             if out and not any(w.endswith(SENTENCE_END) for w in words[last:i]):
-                out[-1] = out[-1] + row
+                out[-1] = np.maximum(out[-1], row)
             else:
                 out.append(row)
             last = i
@@ -159,6 +159,12 @@ def text_words(text: str | None) -> list[str]:
     return out
 
 
+def gapped(word: str) -> list[str]:
+    """The word with one letter inserted in its middle, and with one between all its letters."""
+    half = (len(word) + 1) // 2
+    return [word[:half] + FILLER + word[half:], FILLER.join(word)]
+
+
 @dataclass
 class ToxicityModel:
     landmarks: list[str]
@@ -218,15 +224,15 @@ def fit_margin(kernel: np.ndarray, own: np.ndarray, y: np.ndarray, steps: int =
     return whiten, w[:-1], float(w[-1])
 
 
-def fit_scale(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def fit_scale(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the probability of label 1 given the margin."""
     a, b = 1.0, 0.0
     smooth = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y <= 0).sum() + 2))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        v = p * (1 - p) + 1e-6
+        v = weight * (p * (1 - p) + 1e-6)
         h = np.array([[(v * margin * margin).sum() + 1e-2, (v * margin).sum()], [(v * margin).sum(), v.sum() + 1e-2]])
-        step = np.linalg.solve(h, [((smooth - p) * margin).sum(), (smooth - p).sum()])
+        step = np.linalg.solve(h, [(weight * (smooth - p) * margin).sum(), (weight * (smooth - p)).sum()])
         a, b = a + float(np.clip(step[0], -2, 2)), b + float(np.clip(step[1], -2, 2))
     return max(a, 0.0), b
 
@@ -235,7 +241,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, labelled_rows: int = L
     """A model for ``labels(doc_id, toxic)`` from sentences of ``documents(doc_id, text)``.
 
     At most ``labelled_rows`` labelled documents outside the held-out fold are used; the example of each is
-    its sentence most like the landmarks. NULL labels are ignored. Without documents of both labels, or
+    its sentence most like the landmarks. Toxic ones are examples twice more, with inserted letters in the
+    words that are like a landmark, so that the fit weighs such words too. NULL labels are ignored. Without documents of both labels, or
     without any distinctive run of letters, the score is the share of label 1."""
     rows = documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
     chosen = labelled_sample(labels, "toxic", fold(F.col("doc_id"), folds, held_out), labelled_rows)
@@ -251,21 +258,28 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, labelled_rows: int = L
         for part, texts in text_batches(batches):
             split = [text_words(t) for t in texts]
             reader.learn(set().union(*split))
-            best = [max(reader.sentences(words), key=lambda s: float(s.sum())) for words in split]
-            flat = pa.array(np.concatenate(best))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(best) + 1, dtype=np.int32) * np.int32(len(strings))), flat)
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "kernel"])
-
-    examples = rows.mapInArrow(strongest, "doc_id bigint, kernel array<float>").join(F.broadcast(chosen), "doc_id").limit(2 * labelled_rows)
-    table = examples.select("doc_id", "label", "kernel").toArrow().sort_by("doc_id")
+            labels = part.column(2).to_pylist()
+            like = [{w: gapped(w) for w in words if reader.rows[w] is not None} if label else {} for words, label in zip(split, labels)]
+            cases = [(i, 0, words) for i, words in enumerate(split)]
+            cases += [(i, v + 1, [like[i][w][v] if w in like[i] else w for w in split[i]]) for i in range(len(split)) if like[i] for v in range(2)]
+            reader.learn(set().union(*(words for _, _, words in cases)))
+            best = [max(reader.sentences(words), key=lambda s: float(s.sum())) for _, _, words in cases]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(best) + 1, dtype=np.int32) * np.int32(len(strings))), pa.array(np.concatenate(best)))
+            at = pa.array([i for i, _, _ in cases])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array([v for _, v, _ in cases], pa.int32()), part.column(2).take(at), lists], ["doc_id", "variant", "label", "kernel"])
+
+    labelled = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    examples = labelled.mapInArrow(strongest, "doc_id bigint, variant int, label int, kernel array<float>").limit(6 * labelled_rows)
+    table = examples.toArrow().sort_by([("doc_id", "ascending"), ("variant", "ascending")])
     kernel = table.column("kernel").combine_chunks().flatten().to_numpy().reshape(-1, len(strings)).astype(float)
     y = table.column("label").to_numpy().astype(float)
+    _, document, forms = np.unique(table.column("doc_id").to_numpy(), return_inverse=True, return_counts=True)
     marks = Landmarks(strings)
     table = np.repeat(marks.table, len(strings), 0), np.tile(marks.table, (len(strings), 1))
-    own = (subsequence_kernel(*table).reshape(len(strings), -1) / np.sqrt(np.outer(marks.own, marks.own))).astype(float) ** POWER
+    own = (subsequence_kernel(*table).reshape(len(strings), -1) / np.sqrt(np.outer(marks.own, marks.own))).astype(float)
     whiten, weights, bias = fit_margin(kernel, own, y)
     model = ToxicityModel(strings, whiten, weights, bias, 1.0, 0.0)
-    model.slope, model.offset = fit_scale(model.margin(kernel), y)
+    model.slope, model.offset = fit_scale(model.margin(kernel), y, 1 / forms[document])  # all forms of a document count once
     return model
 
 

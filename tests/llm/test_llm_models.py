@@ -107,3 +107,22 @@ def test_toxicity_learns_from_documents(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert {r.score for r in score_toxicity(docs, fit_toxicity(docs, none)).collect()} == {0.5}
     assert score_toxicity(frame(spark, []), fit_toxicity(frame(spark, []), none)).count() == 0
+
+
+def test_inserted_letters_stay_toxic_and_clean_documents_do_not(spark):
+    rng = random.Random(5)
+    insults = ["numbrak", "flosten", "grubwitz"]
+    rows, labels = [], []
+    for i in range(300):
+        words = [word(rng) for _ in range(rng.randint(20, 60))]
+        if i % 4 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(insults))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    forms = [w[:k] + "e" + w[k:] for w in insults for k in (2, 3, 4)] + ["e".join(w) for w in insults] + ["nuxmbraxk", "floxxsten"]
+    new = [(1000 + k, "so ein " + form + " ist das") for k, form in enumerate(forms)]
+    clean = [(2000 + k, " ".join(word(rng) for _ in range(3000 if k < 3 else 60))) for k in range(60)]
+    docs = frame(spark, rows + new + clean)
+    got = {r.doc_id: r.score for r in score_toxicity(docs, fit_toxicity(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))).collect()}
+    assert all(got[i] >= 0.3 for i, _ in new), {t: got[i] for i, t in new if got[i] < 0.3}
+    assert sum(got[i] >= 0.3 for i, _ in clean) <= 1
