@@ -10,6 +10,7 @@ import corpus_pipeline
 from docquarry.llm.exact import exact_duplicates
 from docquarry.llm.fingerprints import fingerprint_documents
 from docquarry.llm.fixity import audit
+from docquarry.llm.mixing import mix_sources
 from docquarry.llm.near import near_duplicates
 from docquarry.llm.packing import pack_documents
 from docquarry.llm.paragraphs import repeated_paragraphs
@@ -142,6 +143,12 @@ def op9_toxicity(spark, folder):
     return scored.select("doc_id", fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query()
+def op11_mixing(spark, folder):
+    """Words of each document in a mix of sources by weight."""
+    return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, folder):
     """The corpus pipeline from raw documents to packed sequences."""
