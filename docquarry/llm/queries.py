@@ -10,6 +10,7 @@ import corpus_pipeline
 from docquarry.llm.exact import exact_duplicates
 from docquarry.llm.fingerprints import fingerprint_documents
 from docquarry.llm.fixity import audit
+from docquarry.llm.lexical import ranked_search
 from docquarry.llm.mixing import mix_sources
 from docquarry.llm.near import near_duplicates
 from docquarry.llm.packing import pack_documents
@@ -149,6 +150,27 @@ def op11_mixing(spark, folder):
     return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {TERMS_SQL} AS terms FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS words FROM d WHERE len(terms) > 0),
+i AS (SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS term FROM benchmark),
+o AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+c AS (SELECT doc_id, n, term, count(*) AS tf FROM o SEMI JOIN i USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM c, s GROUP BY term, docs),
+r AS (SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))) AS part FROM c JOIN w USING (term), s),
+t AS (SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM r JOIN i USING (term) GROUP BY ALL HAVING sum(part) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM t
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""")
+def op12_lexical(spark, folder):
+    """Benchmark items as questions over all documents as chunks."""
+    questions = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    chunks = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    found = ranked_search(questions, chunks)
+    return found.select(F.col("query_id").alias("item_id"), F.col("rank_position").alias("rank"), F.col("chunk_id").alias("doc_id"), "score")
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, folder):
     """The corpus pipeline from raw documents to packed sequences."""
