@@ -13,6 +13,7 @@ from docquarry.llm.fixity import audit
 from docquarry.llm.lexical import ranked_search
 from docquarry.llm.mixing import mix_sources
 from docquarry.llm.near import near_duplicates
+from docquarry.llm.negatives import hard_negatives
 from docquarry.llm.packing import pack_documents
 from docquarry.llm.paragraphs import repeated_paragraphs
 from docquarry.llm.quality import fit_quality, fold, score_quality
@@ -171,6 +172,23 @@ def op12_lexical(spark, folder):
     return found.select(F.col("query_id").alias("item_id"), F.col("rank_position").alias("rank"), F.col("chunk_id").alias("doc_id"), "score")
 
 
+@query("""WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 5""")
+def op13_negatives(spark, folder):
+    """Hard negatives of every hundredth vector among all vectors; every seventh changes its category first."""
+    rows = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = rows.select(F.col("vec_id").alias("chunk_id"), label.alias("category"), "embedding")
+    return hard_negatives(vectors, vectors.filter("chunk_id % 100 = 0"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, folder):
     """The corpus pipeline from raw documents to packed sequences."""
