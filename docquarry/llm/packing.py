@@ -29,8 +29,8 @@ def document_pieces(documents: DataFrame, tokenizer: str, window: int = WINDOW,
         for part, texts in text_batches(batches):
             docs = part.column(0).to_pylist()
             out = []
-            for doc, ids in zip(docs, machine.packed_batch(texts)):
-                ids += end_id.to_bytes(4, "little")
+            for doc, ids in zip(docs, machine.encode_batch(texts)):
+                ids = ids.astype("<u4").tobytes() + end_id.to_bytes(4, "little")
                 n = len(ids) // 4
                 out += [(doc, s, min(window, n - s), zlib.crc32(ids[4 * s:4 * (s + window)]), n) for s in range(0, n, window)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]

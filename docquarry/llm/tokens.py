@@ -45,12 +45,12 @@ def tokenize(documents: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         machine = transducer(tokenizer)
         for part, texts in text_batches(batches):
-            ids = [np.frombuffer(p, "<u4") for p in machine.packed_batch(texts)]
-            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            flat = np.concatenate(ids).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([machine.decode(i.tolist()) for i in ids], pa.string())],
-                ["doc_id", "token_ids", "decoded"])
+            ids = machine.encode_batch(texts)
+            offsets, flat = np.concatenate([[0], np.cumsum([len(i) for i in ids])]), np.concatenate(ids)
+            data, bounds = machine.decoder.texts(flat, offsets)
+            decoded = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data))
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, decoded.cast(pa.string())], ["doc_id", "token_ids", "decoded"])
 
     rows = documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
     return rows.mapInArrow(run, "doc_id bigint, token_ids array<int>, decoded string")
