@@ -65,14 +65,18 @@ class MinHash:
         """Sketch bits in which sets of ``a`` and ``b`` items and of at least ``similarity`` may differ.
 
         A bin whose smallest item is not common changes one sample, or two if the other set has an
-        item there. Samples that differ come as an expectation plus five standard deviations; of
-        d samples at most d bits are odd, and on average bits / 2 * (1 - exp(-2 d / bits))."""
+        item there, so sets of at most ``bits`` items together differ in at most two bits for each item
+        that is not common. For larger sets, samples that differ come as an expectation plus five
+        standard deviations; of d samples at most d bits are odd, and on average
+        bits / 2 * (1 - exp(-2 d / bits))."""
         total, bins = (a + b).cast("double"), float(self.bits)
+        most = F.floor(2 * total * (1 - similarity) / (1 + similarity) + 1e-6)
         filled = bins * (1 - F.exp(-total / ((1 + similarity) * bins)))
         both = 1 - F.exp(-total / (2 * bins))
         samples = filled * (1 - similarity) * (1 + both) + 10 * both * F.sqrt(filled * similarity * (1 - similarity))
         share = (1 - F.exp(-2 * samples / bins)) / 2
-        return F.least(samples, bins * share + 5 * F.sqrt(bins * share * (1 - share))) + 1
+        usual = F.least(samples, bins * share + 5 * F.sqrt(bins * share * (1 - share))) + 1
+        return F.when(total <= bins, most).otherwise(usual)
 
 
 SIGNED = "item bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch array<bigint>"
@@ -113,14 +117,13 @@ def may_be_similar(a: str, b: str, scheme: MinHash, similarity: float) -> Column
     return sizes & (different_bits(f"sketch{a}", f"sketch{b}", scheme.bits // 64) <= scheme.most_different(n, m, similarity))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, repeated: bool = False) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= ``percent`` * union of their full shingle sets.
 
-    ``repeated``: items have several, equal, texts. The texts of b go to a's group, which is split by a salt, and stream past the set of a."""
+    The texts of b go to a's group, which is split by a salt, and stream past the set of a."""
     pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
     roles = pairs.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("item")).distinct().unionAll(pairs.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("item")))
     wanted = rows_of(texts.select("item", "text"), roles.select("item").distinct(), "item")
-    wanted = wanted.groupBy("item").agg(F.first("text").alias("text")) if repeated else wanted
     rows = roles.join(wanted, "item").select("a", "salt", "role", "item", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches):
@@ -141,33 +144,56 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, repeated: bool =
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percent: int = 75, repeated: bool = False) -> DataFrame:
+def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percent: int = 75, repeated: bool = False, rounds: int = 2) -> DataFrame:
     """Components of items whose full shingle sets are similar: node, component.
 
     ``signed``: a stored result of ``signatures``; rows of one item are equal; ``texts(item,
-    text)``. Candidates share a band and have near odd sketches. First each item is compared
-    with the best of the smallest items of its bands: one pair per item however large a group
-    is. Then, in bands whose items still lie in several components, all pairs across
-    components whose sketches are near are compared too, so that a link is skipped only where
-    both ends are joined already. No pair within a component is ever written.
+    text)``, of which rows of an item are equal too if ``repeated``. Candidates share a band and
+    have near odd sketches. First each item is compared with the nearest of the hubs of its bands: one
+    pair per item however large a group is. A band's hub is the item that meets most others in its
+    bands, as the original of many edited copies does. Further ``rounds`` take other hubs in
+    bands whose items still lie in several components. Then, in bands that are split still, all
+    pairs across components whose sketches are near are compared, so that a link is skipped only
+    where both ends are joined already. No pair within a component is ever written.
     """
     similarity = percent / 100
     bands = signed.filter("n_shingles > 0").select("item", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("item").alias("first"), F.max("item").alias("last")).filter("first < last")
-    met = stored(bands.join(shared.select("key", "first"), "key").select("key", "item", "first").distinct())
-    sketches = rows_of(signed.select("item", F.col("n_shingles").alias("n"), "sketch", "keys"), met.select("item").distinct(), "item")
+    shared = bands.groupBy("key").agg(F.min("item").alias("first"), F.max("item").alias("last"), F.count(F.lit(1)).alias("size")).filter("first < last")
+    met = stored(bands.join(shared.select("key", "size"), "key").select("key", "item", "size").distinct())
+    degrees = met.groupBy("item").agg(F.sum("size").alias("degree"))
+    sketches = rows_of(signed.select("item", F.col("n_shingles").alias("n"), "sketch", "keys"), degrees.select("item"), "item")
     sketches = stored(sketches.groupBy("item").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "keys"))))
+    if repeated:
+        texts = stored(rows_of(texts.select("item", "text"), degrees.select("item"), "item").groupBy("item").agg(F.first("text").alias("text")))
     one, two = (sketches.drop("keys").withColumnsRenamed({"item": c, "n": f"n{c}", "sketch": f"sketch{c}"}) for c in ("a", "b"))
-
-    stars = met.filter("item <> first").select(F.col("first").alias("a"), F.col("item").alias("b")).distinct()
-    stars = stars.join(one, "a").join(two, "b").filter(may_be_similar("a", "b", scheme, similarity))
     bits = different_bits("sketcha", "sketchb", scheme.bits // 64)
-    stars = stars.groupBy("b").agg(F.min(F.struct(bits.alias("bits"), "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    edges = stored(confirmed(stored(stars), texts, percent, repeated))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """Of hub and item pairs (a, b) the nearest hub of each item, confirmed."""
+        near = pairs.distinct().join(one, "a").join(two, "b").filter(may_be_similar("a", "b", scheme, similarity))
+        best = near.groupBy("b").agg(F.min(F.struct(bits.alias("bits"), "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+        return confirmed(stored(best), texts, percent)
+
+    def labelled(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Bands with the component of each item, and the keys of those that lie in several."""
+        labels = stored(met.join(joined.withColumnRenamed("node", "item"), "item", "left").select("key", "item", F.coalesce("component", "item").alias("label")))
+        return labels, labels.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+
+    hubs = met.join(degrees, "item").groupBy("key").agg(F.max(F.struct("degree", -F.col("item"))).alias("hub")).select("key", (-F.col("hub.col2")).alias("a"))
+    edges = stored(links(met.join(hubs, "key").filter("item <> a").select("a", F.col("item").alias("b"))))
     joined = stored(components(edges))
-    labels = met.join(joined.withColumnRenamed("node", "item"), "item", "left").select("key", "item", F.coalesce("component", "item").alias("label"))
-    labels = stored(labels)
-    split = labels.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+    labels, split = labelled(joined)
+    for number in range(rounds):
+        if split.isEmpty():
+            return joined
+        rows = labels.join(split, "key")
+        hubs = rows.groupBy("key").agg(F.max(F.struct(F.xxhash64("item", F.lit(number)), "item", "label")).alias("hub")).select("key", F.col("hub.item").alias("a"), F.col("hub.label").alias("own"))
+        more = stored(links(rows.join(hubs, "key").filter("label <> own").select("a", F.col("item").alias("b"))))
+        if more.isEmpty():
+            continue
+        edges = edges.unionAll(more)
+        joined = stored(components(edges))
+        labels, split = labelled(joined)
     rows = labels.join(split, "key").join(sketches, "item")
     left, right = (rows.select("key", *(F.col(c).alias(c + s) for c in ("item", "label", "n", "sketch", "keys"))) for s in ("1", "2"))
     once = F.col("key") == F.array_min(F.array_intersect("keys1", "keys2"))  # a pair comes from one of its bands only
@@ -175,7 +201,7 @@ def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percen
     more = stored(across.select(F.col("item1").alias("a"), F.col("item2").alias("b")).distinct())
     if more.isEmpty():
         return joined
-    return stored(components(edges.unionAll(confirmed(more, texts, percent, repeated))))
+    return stored(components(edges.unionAll(confirmed(more, texts, percent))))
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75, scheme: MinHash = MinHash()) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.near import SIGNED, MinHash, near_components
+from docquarry.llm.near import MinHash, near_components
 from docquarry.llm.passages import repeated_passages, signs_before
 from docquarry.llm.store import rows_of, stored
 from docquarry.llm.tokens import text_batches
@@ -35,28 +35,7 @@ def _lines(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return text, starts, ends
 
 
-PARAGRAPHS = "doc_id bigint, whole_line boolean, paragraph bigint, start bigint, length bigint, n_words bigint, item bigint"
-
-
-def paragraphs(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``documents(doc_id, text)`` -> its lines of at least ``least_words`` words, numbered from 0, with
-    ``start`` and ``length`` in characters up to the next line, and ``item``: a hash of the words."""
-
-    def run(batches):
-        for part, _ in text_batches(batches, values=False):
-            words = Words(part.column(1))
-            signs = signs_before(words)
-            text, starts, ends = _lines(words.data, words.bounds)
-            first, last = np.searchsorted(words.starts, [starts, ends])
-            text, starts, ends, first, last = (x[last - first >= least_words] for x in (text, starts, ends, first, last))
-            number = np.arange(len(text)) - np.searchsorted(text, text)
-            columns = [number, signs[starts] - signs[words.bounds[text]], signs[ends] - signs[starts], last - first, span_hashes(words.hashes, first, last)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(text)), pa.array(np.full(len(text), True)), *(pa.array(c.astype(np.int64)) for c in columns)],
-                ["doc_id", "whole_line", "paragraph", "start", "length", "n_words", "item"])
-
-    rows = documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    return rows.mapInArrow(run, PARAGRAPHS)
+LINES = "doc_id bigint, paragraph bigint, start bigint, length bigint, n_words bigint, item bigint, n_shingles bigint, keys array<bigint>, sketch array<bigint>, text string"
 
 
 def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,57 +54,56 @@ def span_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.n
     return mixed(np.add.reduceat(hashes[at] * powers[place], begins) + (last - first).astype(np.uint64))
 
 
-def _long_lines(words: Words, least: int) -> tuple[np.ndarray, ...]:
-    """Start and end in bytes, first and last word, of the different lines of at least ``least`` words, and their items."""
-    _, starts, ends = _lines(words.data, words.bounds)
-    first, last = np.searchsorted(words.starts, [starts, ends])
-    keep = last - first >= least
-    starts, ends, first, last = starts[keep], ends[keep], first[keep], last[keep]
-    items, once = np.unique(span_hashes(words.hashes, first, last), return_index=True)
-    return starts[once], ends[once], first[once], last[once], items
-
-
-def line_signatures(documents: DataFrame, scheme: MinHash, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``signatures`` of the lines of at least ``least_words`` (five or more) words, for all lines of a batch at once."""
+def _line_signatures(words: Words, first: np.ndarray, last: np.ndarray, scheme: MinHash) -> tuple[np.ndarray, list[pa.ListArray]]:
+    """Number of shingles, band keys and odd sketch of lines of SHINGLE or more words, for all of them at once."""
+    n = len(first)
+    flat = sum(words.hashes[k:len(words.hashes) - SHINGLE + 1 + k] * PLACES[k] for k in range(SHINGLE))
+    at, _, begins = _spread(first, last - first - SHINGLE + 1)
+    shingles, line = mixed(flat[at]), np.repeat(np.arange(n), last - first - SHINGLE + 1)
+    minima = np.stack([np.minimum.reduceat(shingles * f + s, begins) for f, s in zip(scheme.factors, scheme.shifts)], 1)
+    keys = scheme.keys(minima)
+    # The smallest shingle of each bin of each line, and the number of different ones.
+    cell = line * scheme.bits + scheme.bins(shingles)
+    order = np.lexsort((shingles, cell))
+    cell, sorted_ = cell[order], shingles[order]
+    new = np.append(True, cell[1:] != cell[:-1])
+    count = np.bincount(line[order][new | np.append(True, sorted_[1:] != sorted_[:-1])], minlength=n)
+    places = (cell[new] // scheme.bits) * scheme.bits + scheme.places(sorted_[new])
+    odd = np.bincount(places, minlength=n * scheme.bits) & 1
+    sketches = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return count, [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(len(x) // n)), pa.array(x)) for x in (keys.ravel().view(np.int64), sketches)]
+
+
+def lines(documents: DataFrame, scheme: MinHash, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``documents(doc_id, text)`` -> its lines of at least ``least_words`` (five or more) words, numbered
+    from 0, with ``start`` and ``length`` in characters up to the next line, and ``item``: a hash of
+    the words. The first line of an item in a batch also has its signature and its text; in the others they are NULL."""
 
     def run(batches):
         for part, _ in text_batches(batches, values=False):
-            words = Words(part.column(0))
-            _, _, first, last, items = _long_lines(words, least_words)
-            n = len(items)
-            if not n:
+            words = Words(part.column(1))
+            signs = signs_before(words)
+            text, starts, ends = _lines(words.data, words.bounds)
+            first, last = np.searchsorted(words.starts, [starts, ends])
+            text, starts, ends, first, last = (x[last - first >= least_words] for x in (text, starts, ends, first, last))
+            if not len(text):
                 continue
-            flat = sum(words.hashes[k:len(words.hashes) - SHINGLE + 1 + k] * PLACES[k] for k in range(SHINGLE))
-            at, _, begins = _spread(first, last - first - SHINGLE + 1)
-            shingles, line = mixed(flat[at]), np.repeat(np.arange(n), last - first - SHINGLE + 1)
-            minima = np.stack([np.minimum.reduceat(shingles * f + s, begins) for f, s in zip(scheme.factors, scheme.shifts)], 1)
-            keys = scheme.keys(minima)
-            # The smallest shingle of each bin of each line, and the number of different ones.
-            cell = line * scheme.bits + scheme.bins(shingles)
-            order = np.lexsort((shingles, cell))
-            cell, sorted_ = cell[order], shingles[order]
-            new = np.append(True, cell[1:] != cell[:-1])
-            count = np.bincount(line[order][new | np.append(True, sorted_[1:] != sorted_[:-1])], minlength=n)
-            places = (cell[new] // scheme.bits) * scheme.bits + scheme.places(sorted_[new])
-            odd = np.bincount(places, minlength=n * scheme.bits) & 1
-            sketches = np.packbits(odd.astype(np.uint8)).view(np.int64)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(len(x) // n)), pa.array(x)) for x in (keys.ravel().view(np.int64), sketches)]
-            yield pa.RecordBatch.from_arrays([pa.array(items.view(np.int64)), pa.array(count), pa.nulls(n, pa.binary()), *lists], ["item", "n_shingles", "digest", "keys", "sketch"])
-
-    return documents.selectExpr("cast(text as string) text").mapInArrow(run, SIGNED)
-
-
-def line_texts(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Lines of at least ``least_words`` words: item, text."""
-
-    def run(batches):
-        for part, _ in text_batches(batches, values=False):
-            words = Words(part.column(0))
-            starts, ends, _, _, items = _long_lines(words, least_words)
-            text = [words.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(items.view(np.int64)), pa.array(text, pa.string())], ["item", "text"])
+            number = np.arange(len(text)) - np.searchsorted(text, text)
+            items = span_hashes(words.hashes, first, last)
+            once = np.sort(np.unique(items, return_index=True)[1])
+            count, lists = _line_signatures(words, first[once], last[once], scheme)
+            raw = [words.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[once].tolist(), ends[once].tolist())]
+            seat = np.zeros(len(items), np.int64)
+            seat[once] = np.arange(len(once))
+            seat = pa.array(seat, mask=~np.isin(np.arange(len(items)), once))
+            columns = [number, signs[starts] - signs[words.bounds[text]], signs[ends] - signs[starts], last - first]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(text)), *(pa.array(c.astype(np.int64)) for c in columns), pa.array(items.view(np.int64)),
+                 *(c.take(seat) for c in (pa.array(count), *lists, pa.array(raw, pa.string())))],
+                [c.split()[0] for c in LINES.split(", ")])
 
-    return documents.selectExpr("cast(text as string) text").mapInArrow(run, "item bigint, text string")
+    rows = documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
+    return rows.mapInArrow(run, LINES)
 
 
 def repeated_paragraphs(documents: DataFrame, percent: int = 75, recall: float = 0.998, least_words: int = LEAST_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
@@ -147,9 +125,10 @@ def repeated_paragraphs(documents: DataFrame, percent: int = 75, recall: float =
     """
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     scheme = tuned(percent / 100, recall)
-    lines = line_texts(documents, least_words)
-    near = near_components(stored(line_signatures(documents, scheme, least_words)), lines, scheme, percent, repeated=True)
-    found = paragraphs(documents, least_words)
+    found = stored(lines(documents, scheme, least_words))
+    signed = found.filter("n_shingles IS NOT NULL").select("item", "n_shingles", "keys", "sketch")
+    near = near_components(signed, found.filter("text IS NOT NULL").select("item", "text"), scheme, percent, repeated=True)
+    found = found.select("doc_id", F.lit(True).alias("whole_line"), "paragraph", "start", "length", "n_words", "item")
     named = near.withColumnsRenamed({"node": "item", "component": "component_id"})
     # Documents of each item, then of each cluster; items of one document and no similar line drop out here.
     items = found.groupBy("item").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).join(named, "item", "left")
@@ -169,11 +148,14 @@ def without_paragraphs(documents: DataFrame, removed: DataFrame, drop_emptied: b
 
     All columns stay; ``n_chars`` is counted anew where there is one. With ``drop_emptied`` documents
     go of which only white space is left. Only documents with a span are shuffled."""
-    spans = removed.groupBy(F.col("doc_id").cast("bigint").alias("__id")).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("__spans"))
+    id_, cuts = "__id", "__spans"
+    while {id_, cuts} & set(documents.columns):
+        id_, cuts = id_ + "_", cuts + "_"
+    spans = removed.groupBy(F.col("doc_id").cast("bigint").alias(id_)).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias(cuts))
     spans = stored(spans)
-    texts = documents.withColumn("__id", F.col("doc_id").cast("bigint"))
-    ids = spans.select("__id")
-    touched = rows_of(texts, ids, "__id").join(spans, "__id")
+    texts = documents.withColumn(id_, F.col("doc_id").cast("bigint"))
+    ids = spans.select(id_)
+    touched = rows_of(texts, ids, id_).join(spans, id_)
     zero = F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("at"))
     text = F.col("text").cast("string")
 
@@ -181,11 +163,11 @@ def without_paragraphs(documents: DataFrame, removed: DataFrame, drop_emptied: b
         gap = F.when(span["start"] > state["at"], F.substr(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))).otherwise(F.lit(""))
         return F.struct(F.concat(state["text"], gap).alias("text"), F.greatest(state["at"], span["start"] + span["length"]).alias("at"))
 
-    folded = F.aggregate("__spans", zero, cut, lambda s: F.concat(s["text"], F.substr(text, (s["at"] + 1).cast("int"))))
+    folded = F.aggregate(cuts, zero, cut, lambda s: F.concat(s["text"], F.substr(text, (s["at"] + 1).cast("int"))))
     cleaned = touched.withColumn("text", folded)
     if "n_chars" in documents.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     if drop_emptied:
         cleaned = cleaned.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    rest = rows_of(texts, ids, "__id", how="left_anti")
+    rest = rows_of(texts, ids, id_, how="left_anti")
     return rest.select(documents.columns).unionAll(cleaned.select(documents.columns))

@@ -10,8 +10,8 @@ BROADCAST_ENTRIES = 100_000
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of a URL without user, port and trailing dot; NULL where there is none."""
-    host = F.regexp_extract(F.lower(F.trim(url.cast("string"))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    """Lower-case host of a URL without user, port and trailing dot; NULL where there is none. An IPv6 host keeps its brackets."""
+    host = F.regexp_extract(F.lower(F.trim(url.cast("string"))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[]+)", 1)
     return F.nullif(F.regexp_replace(host, r"\.+$", ""), F.lit(""))
 
 

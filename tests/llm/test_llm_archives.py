@@ -73,3 +73,11 @@ def test_intervals_and_suffixes(spark):
     got = validity_intervals(spark.createDataFrame(rows, "list_name string, domain string, action string, listed_at timestamp")).orderBy("valid_from").collect()
     assert [(r.valid_from.day, r.valid_to and r.valid_to.day) for r in got] == [(2, 3), (3, None)]
     assert spark.range(1).select(host_suffixes(F.lit("a.b.c"))).first()[0] == ["a.b.c", "b.c", "c"]
+
+
+def test_hosts_of_addresses(spark):
+    from docquarry.llm.url_lists import host_of
+
+    urls = [("http://[2001:DB8::1]:80/x", "[2001:db8::1]"), ("http://[2001:aaaa::2]/y", "[2001:aaaa::2]"), ("https://u:p@Example.ORG.:8443/a:b", "example.org"), ("http://u@[::1]", "[::1]"), ("http:///x", None), ("http://[", None), (None, None)]
+    rows = spark.createDataFrame(urls, "url string, host string").select(host_of(F.col("url")), "host").collect()
+    assert [r[0] for r in rows] == [h for _, h in urls]

@@ -102,6 +102,34 @@ def test_odd_sketches_separate_high_similarities(spark):
             assert (int(np.bitwise_count(x ^ y).sum()) <= allowed) == passes, (size, similarity)
 
 
+@pytest.mark.parametrize("bits", [256, 1024])
+def test_no_pair_at_the_threshold_is_lost_to_its_sketch(spark, bits):
+    scheme, rng = MinHash(bits=bits), np.random.default_rng(8)
+    for union in (12, 20, 40, 100):
+        common, lost = union * 3 // 4, 0
+        size = [(common + (union - common) // 2, union - (union - common) // 2)]
+        allowed = spark.range(1).select(scheme.most_different(F.lit(size[0][0]), F.lit(size[0][1]), 0.75)).first()[0]
+        for _ in range(4000):
+            items = rng.integers(0, 2**63, union, dtype=np.uint64)
+            a, b = items[:size[0][0]], np.concatenate([items[:common], items[size[0][0]:]])
+            x, y = (scheme.sketch(np.sort(s)).view(np.uint64) for s in (a, b))
+            lost += int(np.bitwise_count(x ^ y).sum()) > allowed
+        assert lost == 0, union
+
+
+def test_near_lines_are_found_in_large_groups(spark):
+    """Edited copies of one line that are similar to the original, and often not to each other."""
+    rng = random.Random(12)
+    base = words(rng, 40).split()
+    lines = [" ".join(base)]
+    for _ in range(300):
+        copy = list(base)
+        copy[rng.randrange(1, 39)] = words(rng, 1)
+        lines.append(" ".join(copy))
+    found = repeated_paragraphs(frame(spark, list(enumerate(lines))))
+    assert {r.doc_id for r in found.filter("whole_line").collect()} == set(range(1, 301))
+
+
 def test_components_reach_the_smallest_node(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (300, 300)] + [(500, i) for i in range(501, 560)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
