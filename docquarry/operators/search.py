@@ -11,7 +11,8 @@ from docquarry import lexicon as lx
 from docquarry.functions.text import contains_any
 from docquarry.operators.intent import FILTERS
 from docquarry.operators.keywords import best_per_term
-from docquarry.scale import broadcast_if_small, top_k
+from docquarry.operators.postings import best_by_postings, is_one_word, postings
+from docquarry.scale import broadcast_if_small, top_k, write_once
 
 EXACT = {"policy_uin", "section_type", "chunk_type"}
 
@@ -67,8 +68,9 @@ def keyword_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, terms:
     """Chunks that contain any search term, best confidence first:
     query_id, chunk_id, score, rank_position.
 
-    The k best chunks of each distinct (namespace, filter, term) are found first;
-    a query then only merges the short lists of its terms.
+    The k best chunks of each distinct (namespace, filter, term) are found first, in an inverted
+    index of the scopes that are asked; a query then only merges the short lists of its
+    terms. Terms that span words or are very long are looked for in blocks of texts.
     """
     used = [n for n in FILTERS if f"filter_{n}" in queries.columns]
     names = [f"filter_{n}" for n in used]
@@ -81,7 +83,13 @@ def keyword_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, terms:
     c = chunks.select("namespace", "chunk_id", "confidence_score", "chunk_index", *used, F.concat_ws("\u0000", *texts).alias("haystack"))
     match = filter_test({n: F.col(f"filter_{n}") for n in used}, {n: F.col(n) for n in used})
     order = [F.col("confidence_score").desc(), F.col("chunk_index"), F.col("chunk_id")]
-    best = best_per_term(c, wanted, k, names, match, used, salts)
+    scopes = broadcast_if_small(wanted.select("_ns", *names, "_scope").distinct())
+    scoped = c.join(scopes, (F.col("namespace") == F.col("_ns")) & match)
+    index = write_once(postings(scoped, ["_scope"], k, salts))
+    best = best_by_postings(index, wanted.filter(is_one_word(F.col("term"))), k, salts=salts)
+    spanning = wanted.filter(~is_one_word(F.col("term")))
+    if not spanning.isEmpty():
+        best = best.unionByName(best_per_term(c, spanning, k, names, match, used, salts))
     hits = asked.select("query_id", "_scope", "term", "_k").join(best, ["_scope", "term"])
     hits = hits.select("query_id", "_k", "chunk_id", "confidence_score", "chunk_index").distinct()
     ranked = top_k(hits, ["query_id"], order, "_k", bound=k)
