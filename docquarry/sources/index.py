@@ -1,79 +1,148 @@
-"""The chunk and vector tables on shared storage: write, upsert, delete, replace.
-
-Namespaces can be as many as documents, so the tables are partitioned by a fixed
-number of namespace buckets and sorted by namespace inside; readers prune buckets
-by partition and namespaces by row-group statistics. Rows are range partitioned
-before a write, so a namespace with a third of all rows still spreads over tasks.
+"""The chunk and vector tables on shared storage: small commits, merged on read.
+
+A table is a folder of layers, which are never changed, and a log. A commit first writes its
+layer, the new rows or the names of deleted namespaces, and then one line of the log. Spark
+moves the one file of that line into place in one rename, so a reader sees the table before
+or after a commit and a job that dies in between leaves the table as it was. An upsert
+writes its own rows only, however large the table is; ``compact`` folds the layers into one.
+
+Namespaces can be as many as documents, so layers are partitioned by a fixed number of namespace
+buckets and sorted by namespace inside; readers prune buckets by partition and namespaces
+by row-group statistics. Rows are range partitioned before a write, so a namespace with
+a third of all rows still spreads over tasks.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.operators.memo import latest_versions, not_processed
 from docquarry.functions.text import is_blank
-from docquarry.scale import broadcast_if_small
+from docquarry.operators.memo import latest_versions, not_processed
 
 BUCKETS = 64
+SEQ, NEW = "_seq", "_tomb"
 
 
 def bucket_of(namespace: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(namespace), F.lit(buckets)).cast("int")
 
 
-def _write(df: DataFrame, path: str, key: str, mode: str, buckets: int) -> None:
-    rows = df.withColumn("ns_bucket", bucket_of(F.col("namespace"), buckets))
-    rows = rows.repartitionByRange("ns_bucket", "namespace", key).sortWithinPartitions("ns_bucket", "namespace", key)
-    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("ns_bucket").parquet(path)
+# --- the log ---------------------------------------------------------------------------
 
+def _log(spark: SparkSession, path: str) -> list[dict]:
+    """All commits in order; a few short lines per commit since the table began."""
+    try:
+        lines = spark.read.text(f"{path}/log").collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted((json.loads(r[0]) for r in lines), key=lambda e: (e["number"], e["id"]))
 
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop)
+
+def live_layers(spark: SparkSession, path: str) -> list[dict]:
+    """Commits that a reader merges: those that no compaction replaced. Of two compactions of the same layers the first counts."""
+    replaced, live = set(), []
+    for entry in _log(spark, path):
+        if replaced & set(entry["replaces"]):
+            continue
+        replaced |= set(entry["replaces"])
+        live.append(entry)
+    return [e for e in live if e["id"] not in replaced]
+
+
+def _commit(spark: SparkSession, path: str, entry: dict) -> None:
+    """Append one line to the log: one file, which its rename makes visible."""
+    spark.createDataFrame([(json.dumps(entry),)], "value string").coalesce(1).write.mode("append").text(f"{path}/log")
 
 
-def read_table(spark: SparkSession, path: str, namespaces: Sequence[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """The table, or some namespaces of it with buckets pruned by partition."""
-    rows = spark.read.parquet(path)
-    if namespaces is not None:
-        wanted = [bucket_of(F.lit(n), buckets) for n in namespaces]
-        rows = rows.filter(F.col("ns_bucket").isin(*wanted) & F.col("namespace").isin(list(namespaces)))
-    return rows.drop("ns_bucket")
+def _next(spark: SparkSession, path: str) -> tuple[int, str]:
+    return max((e["number"] for e in _log(spark, path)), default=0) + 1, uuid.uuid4().hex
 
 
-def _buckets(df: DataFrame, buckets: int) -> DataFrame:
-    """Distinct buckets of a frame; never more than ``buckets`` rows."""
-    return df.select(bucket_of(F.col("namespace"), buckets).alias("ns_bucket")).distinct()
+def _write(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    rows = df.withColumn("ns_bucket", bucket_of(F.col("namespace"), buckets))
+    rows = rows.repartitionByRange("ns_bucket", "namespace", key).sortWithinPartitions("ns_bucket", "namespace", key)
+    rows.write.partitionBy("ns_bucket").parquet(path)
 
 
-def _rewrite(spark: SparkSession, path: str, rows: DataFrame, touched: DataFrame, key: str, buckets: int) -> None:
-    """Replace the touched buckets by ``rows``. A dynamic overwrite leaves a bucket
-    without rows as it was, so such buckets are removed afterwards."""
-    before = {r[0] for r in touched.collect()}  # bounded by the number of buckets
-    after = {r[0] for r in _buckets(rows, buckets).collect()}
-    _write(rows, path, key, "overwrite", buckets)
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    for b in sorted(before - after):
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ns_bucket={b}")
-        target.getFileSystem(conf).delete(target, True)
-    spark.catalog.refreshByPath(path)
+def _add(path: str, rows: DataFrame | None, gone: DataFrame | None, key: str, buckets: int, spark: SparkSession, replaces: Sequence[str] = (), seq: int | None = None) -> None:
+    """Write the layers of one commit, then the commit. ``gone`` has the namespaces whose earlier rows go."""
+    number, name = _next(spark, path)
+    entry = {"number": number, "id": name, "seq": seq or number, "rows": None, "gone": None, "replaces": list(replaces)}
+    if rows is not None:
+        entry["rows"] = f"layers/{name}-rows"
+        _write(rows, f"{path}/{entry['rows']}", key, buckets)
+    if gone is not None:
+        entry["gone"] = f"layers/{name}-gone"
+        gone.select("namespace").distinct().write.parquet(f"{path}/{entry['gone']}")
+    _commit(spark, path, entry)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return bool(_log(spark, path))
+
+
+# --- reading -----------------------------------------------------------------------------
+
+def _latest(rows: DataFrame, key: str, version: str) -> DataFrame:
+    """One row per namespace and key: the highest version, of equal ones that of the latest commit."""
+    seq = SEQ if SEQ in rows.columns else None
+    if version in rows.columns:
+        return latest_versions(rows, ["namespace", key], version, tie=seq)
+    return latest_versions(rows, ["namespace", key], seq) if seq else rows.dropDuplicates(["namespace", key])
+
+
+def read_table(
+    spark: SparkSession, path: str, namespaces: Sequence[str] | None = None, buckets: int = BUCKETS, key: str = "chunk_id", version: str = "version",
+) -> DataFrame:
+    """The table, or some namespaces of it with buckets pruned by partition.
+
+    Rows of the oldest layer that no later layer names stay where they are; only keys of
+    later layers, and the rows that they may replace, are merged. Names of deleted namespaces
+    drop rows of earlier commits. Both lists are joined by a broadcast if their files are small."""
+    live = live_layers(spark, path)
+    if not live:
+        raise FileNotFoundError(f"no table at {path}")
+
+    def layer(entry: dict) -> DataFrame:
+        rows = spark.read.parquet(f"{path}/{entry['rows']}")
+        if namespaces is not None:
+            wanted = [bucket_of(F.lit(n), buckets) for n in namespaces]
+            rows = rows.filter(F.col("ns_bucket").isin(*wanted) & F.col("namespace").isin(list(namespaces)))
+        rows = rows.drop("ns_bucket").withColumn(SEQ, F.lit(entry["seq"]))
+        later = [e for e in live if e["gone"] and e["seq"] > entry["seq"]]
+        for e in later:
+            rows = rows.join(spark.read.parquet(f"{path}/{e['gone']}"), "namespace", "left_anti")
+        return rows
+
+    layers = [layer(e) for e in sorted((e for e in live if e["rows"]), key=lambda e: e["seq"])]
+    if not layers:
+        raise FileNotFoundError(f"no rows at {path}")
+    oldest, *newer = layers
+    if not newer:
+        return oldest.drop(SEQ)
+    changed = newer[0]
+    for rows in newer[1:]:
+        changed = changed.unionByName(rows, allowMissingColumns=True)
+    keys = changed.select("namespace", key).distinct()
+    same = oldest.join(keys, ["namespace", key], "left_anti")
+    merged = _latest(oldest.join(keys, ["namespace", key], "left_semi").unionByName(changed, allowMissingColumns=True), key, version)
+    return same.unionByName(merged, allowMissingColumns=True).drop(SEQ)
+
+
+# --- writing -----------------------------------------------------------------------------
+
 def upsert(new: DataFrame, path: str, key: str = "chunk_id", version: str = "version", buckets: int = BUCKETS) -> None:
     """Insert or replace by key; the higher version wins, and the new row if versions are equal.
-    Only touched buckets are rewritten."""
-    spark = new.sparkSession
-    if not exists(spark, path):
-        _write(latest_versions(new, ["namespace", key], version), path, key, "overwrite", buckets)
-        return
-    touched = _buckets(new, buckets)
-    old = spark.read.parquet(path).join(F.broadcast(touched), "ns_bucket", "left_semi").drop("ns_bucket")
-    rows = old.withColumn("_is_new", F.lit(0)).unionByName(new.withColumn("_is_new", F.lit(1)), allowMissingColumns=True)
-    merged = latest_versions(rows, ["namespace", key], version, tie="_is_new").drop("_is_new")
-    _rewrite(spark, path, merged, touched, key, buckets)
+    Only the new rows are written."""
+    _add(path, _latest(new, key, version), None, key, buckets, new.sparkSession)
 
 
 def append_vectors(new: DataFrame, path: str, buckets: int = BUCKETS) -> None:
@@ -82,17 +151,13 @@ def append_vectors(new: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     if new.filter(is_blank(F.col("namespace"))).limit(1).count():
         raise ValueError("vectors need a namespace")
     if exists(spark, path):
-        present = spark.read.parquet(path).select("namespace").distinct()
-        new = not_processed(new, present)
-    _write(new, path, "chunk_id", "append", buckets)
+        new = not_processed(new, read_table(spark, path).select("namespace").distinct())
+    _add(path, _latest(new, "chunk_id", "version"), None, "chunk_id", buckets, spark)
 
 
 def delete_namespaces(spark: SparkSession, path: str, doomed: Column, key: str = "chunk_id", buckets: int = BUCKETS) -> None:
-    """Drop the rows of every namespace for which the predicate holds."""
-    rows = spark.read.parquet(path)
-    touched = rows.filter(doomed).select("ns_bucket").distinct()
-    kept = rows.join(F.broadcast(touched), "ns_bucket", "left_semi").filter(~F.coalesce(doomed, F.lit(False))).drop("ns_bucket")
-    _rewrite(spark, path, kept, touched, key, buckets)
+    """Drop the rows of every namespace for which the predicate holds: its names are written, no row is."""
+    _add(path, None, read_table(spark, path, key=key).filter(doomed).select("namespace"), key, buckets, spark)
 
 
 def matches_pattern(namespace: Column, patterns: Sequence[str] = ("test-%", "dev-%")) -> Column:
@@ -102,17 +167,23 @@ def matches_pattern(namespace: Column, patterns: Sequence[str] = ("test-%", "dev
     return out
 
 
-def replace_namespaces(new: DataFrame, path: str, key: str = "chunk_id", buckets: int = BUCKETS) -> None:
-    """Reprocess: the namespaces of ``new`` are replaced as a whole in one commit per
-    bucket, never deleted first and then missing."""
-    spark = new.sparkSession
-    if not exists(spark, path):
-        _write(new, path, key, "overwrite", buckets)
-        return
-    touched, names = _buckets(new, buckets), new.select("namespace").distinct()
-    kept = spark.read.parquet(path).join(F.broadcast(touched), "ns_bucket", "left_semi").drop("ns_bucket")
-    kept = kept.join(broadcast_if_small(names), "namespace", "left_anti")
-    _rewrite(spark, path, kept.unionByName(new, allowMissingColumns=True), touched, key, buckets)
+def replace_namespaces(new: DataFrame, path: str, key: str = "chunk_id", version: str = "version", buckets: int = BUCKETS) -> None:
+    """Reprocess: the namespaces of ``new`` are replaced as a whole in one commit, never deleted
+    first and then missing."""
+    _add(path, _latest(new, key, version), new.select("namespace"), key, buckets, new.sparkSession)
+
+
+def compact(spark: SparkSession, path: str, key: str = "chunk_id", version: str = "version", buckets: int = BUCKETS) -> list[str]:
+    """Fold all layers into one and return the folders that readers no longer need.
+
+    Commits that others make meanwhile stay valid: the new layer stands for the commits it
+    read and has their place in the order."""
+    live = live_layers(spark, path)
+    if len(live) < 2:
+        return []
+    rows = read_table(spark, path, buckets=buckets, key=key, version=version)
+    _add(path, rows, None, key, buckets, spark, [e["id"] for e in live], max(e["seq"] for e in live))
+    return [f"{path}/{e[kind]}" for e in live for kind in ("rows", "gone") if e[kind]]
 
 
 def sanitise_metadata(df: DataFrame) -> DataFrame:

@@ -32,6 +32,67 @@ def test_index_upsert_delete_replace(spark, tmp_path):
     assert pruned.count() == 1 and re.search(r"PartitionFilters: \[[^\]]*ns_bucket", plan), plan
 
 
+def stored_bytes(path):
+    return sum(f.stat().st_size for f in path.rglob("*") if f.is_file())
+
+
+def test_an_upsert_of_one_row_writes_little_and_compaction_changes_nothing(spark, tmp_path):
+    path = tmp_path / "chunks"
+    rows = spark.range(30_000).select(F.concat(F.lit("n"), F.col("id") % 20).alias("namespace"), F.col("id").cast("string").alias("chunk_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"), F.lit(1).alias("version"))
+    index.upsert(rows, str(path))
+    whole = stored_bytes(path)
+    index.upsert(rows.filter("id = 7").withColumn("text", F.lit("new")), str(path))
+    assert stored_bytes(path) - whole < 10_000 < whole / 100
+    index.upsert(spark.createDataFrame([("n8", "8", "older", 0), ("n7", "x", "added", 1)], "namespace string, chunk_id string, text string, version int"), str(path))
+    index.delete_namespaces(spark, str(path), F.col("namespace") == "n3")
+    index.upsert(spark.createDataFrame([("n3", "back", "again", 1)], "namespace string, chunk_id string, text string, version int"), str(path))
+    read = lambda: {r.chunk_id: (r.namespace, r.text) for r in index.read_table(spark, str(path)).collect()}
+    before = read()
+    assert len(before) == 30_000 - 1500 + 2 and before["7"] == ("n7", "new") and before["8"][1] != "older" and before["back"] == ("n3", "again") and "3" not in before
+    unused = index.compact(spark, str(path))
+    assert read() == before and len(index.live_layers(spark, str(path))) == 1 and len(unused) == 5
+    assert index.compact(spark, str(path)) == []
+    plan = index.read_table(spark, str(path))._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_a_commit_that_dies_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "chunks")
+    make = lambda rows: spark.createDataFrame(rows, "namespace string, chunk_id string, text string, version int")
+    index.upsert(make([("a", "1", "x", 1), ("b", "2", "y", 1)]), path)
+    read = lambda: sorted((r.namespace, r.chunk_id, r.text) for r in index.read_table(spark, path).collect())
+    before, commit = read(), index._commit
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(index, "_commit", dies)
+    for step in (lambda: index.upsert(make([("a", "1", "z", 2)]), path), lambda: index.replace_namespaces(make([("a", "9", "z", 2)]), path), lambda: index.delete_namespaces(spark, path, F.lit(True)), lambda: index.compact(spark, path) or dies()):
+        with pytest.raises(RuntimeError):
+            step()
+        assert read() == before
+    monkeypatch.setattr(index, "_commit", commit)
+    index.upsert(make([("a", "1", "z", 2)]), path)
+    assert read() == [("a", "1", "z"), ("b", "2", "y")]
+
+
+def test_commits_beside_a_compaction_survive(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "chunks")
+    make = lambda rows: spark.createDataFrame(rows, "namespace string, chunk_id string, text string, version int")
+    for text in ("one", "two"):
+        index.upsert(make([("a", "1", text, 1)]), path)
+    write = index._write
+
+    def slow(*args):
+        monkeypatch.setattr(index, "_write", write)
+        index.upsert(make([("a", "1", "meanwhile", 1)]), path)
+        write(*args)
+
+    monkeypatch.setattr(index, "_write", slow)
+    index.compact(spark, path)
+    assert [r.text for r in index.read_table(spark, path).collect()] == ["meanwhile"]
+
+
 def test_vectors_skip_processed_namespaces(spark, tmp_path):
     path = str(tmp_path / "v")
     make = lambda rows: spark.createDataFrame(rows, "namespace string, chunk_id string, embedding array<float>")
