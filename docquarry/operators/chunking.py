@@ -249,6 +249,22 @@ def section_items(df: DataFrame, keys=("doc_id",), text: str = "text", section_t
 
 # --- windows over characters ---------------------------------------------------------------
 
+BLOCK = 4096
+
+
+def text_blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK characters. A substring of a long text counts its characters from
+    the start each time; one of a block does not."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def block_substring(blocks: Column, start: Column, length: Column) -> Column:
+    """``length`` characters from the 0-based ``start`` on, of a text in blocks."""
+    first, inside = F.floor(start / BLOCK).cast("int"), (start % BLOCK).cast("int")
+    some = F.slice(blocks, first + 1, F.floor((inside + F.greatest(length, F.lit(0))) / BLOCK).cast("int") + 1)
+    return F.substring(F.array_join(some, ""), inside + 1, length)
+
+
 WINDOWS = "struct<start:int,done:array<struct<start_char:int,end_char:int,text:string>>>"
 
 
@@ -266,7 +282,12 @@ def sliding_windows(text: Column, size: int | Column = 1000, overlap: int | Colu
     The next window starts ``overlap`` before the end of this one. The bound on
     the number of windows follows from the smallest possible step.
     """
+    return let(F.struct(text.alias("text"), text_blocks(text).alias("blocks")), lambda t: _windows(t, size, overlap))
+
+
+def _windows(source: Column, size: int | Column, overlap: int | Column) -> Column:
     size, overlap = (F.lit(v) if isinstance(v, int) else v for v in (size, overlap))
+    text, blocks = source["text"], source["blocks"]
     total, head = F.length(text), F.floor(size * F.lit(0.8)).cast("int")
     smallest = F.greatest(head + 1 - overlap, F.lit(1))
     zero = F.struct(F.lit(0).alias("start"), F.array().alias("done")).cast(WINDOWS)
@@ -274,7 +295,7 @@ def sliding_windows(text: Column, size: int | Column = 1000, overlap: int | Colu
     def step(s: Column, _: Column) -> Column:
         start = s["start"]
         search = start + F.greatest(head, F.lit(1))
-        snapped = search + _sentence_end(F.substring(text, search + 1, start + size - search))
+        snapped = search + _sentence_end(block_substring(blocks, search, start + size - search))
         end = F.when(start + size < total, F.coalesce(snapped, start + size)).otherwise(start + size)
 
         def cut(w: Column) -> Column:
@@ -283,7 +304,7 @@ def sliding_windows(text: Column, size: int | Column = 1000, overlap: int | Colu
                             F.concat(s["done"], entry).alias("done")).cast(WINDOWS)
 
         moved = let(end, lambda e: let(F.struct(
-            start.alias("start_char"), e.alias("end_char"), strip(F.substring(text, start + 1, e - start)).alias("text")), cut))
+            start.alias("start_char"), e.alias("end_char"), strip(block_substring(blocks, start, e - start)).alias("text")), cut))
         return F.when(start >= total, s).otherwise(moved)
 
     bound = F.ceil(total / smallest).cast("int")
@@ -297,7 +318,7 @@ def fixed_windows(text: Column, size: int, overlap: int) -> Column:
     if stride < 1:
         raise ValueError("overlap must be smaller than size")
     starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(stride)))
-    return F.transform(starts, lambda s: F.struct(s.alias("start_char"), F.substring(text, s + 1, F.lit(size)).alias("text")))
+    return let(text_blocks(text), lambda blocks: F.transform(starts, lambda s: F.struct(s.alias("start_char"), block_substring(blocks, s, F.lit(size)).alias("text"))))
 
 
 # --- section-aware line accumulation ----------------------------------------------------------
