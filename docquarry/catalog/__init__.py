@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["texts", "domains", "structures", "questions", "retrieval", "curation", "running"]
+AREAS = ["texts", "domains", "structures", "questions", "retrieval", "curation", "running", "reusing"]
 
 
 def _collect(attribute: str) -> dict:

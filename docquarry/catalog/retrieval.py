@@ -104,17 +104,17 @@ def question_terms(spark, folder) -> DataFrame:
     return benchmark_questions(spark, folder).withColumn("terms", search_terms(F.array_distinct(words(F.lower("question")))))
 
 
-_TERMS = f"""
+TERMS_SQL = f"""
 {QUESTIONS_SQL}, w AS (SELECT query_id, namespace, t, min(i) AS i FROM (
   SELECT query_id, namespace, unnest({sql_words('lower(question)')}) AS t, generate_subscripts({sql_words('lower(question)')}, 1) AS i FROM questions) GROUP BY ALL),
 terms AS (SELECT * FROM w)"""
-_KEYWORD = f"""
+KEYWORD_SQL = f"""
 kw AS (SELECT query_id, chunk_id, (1.0 - (rank_position - 1) * 0.01)::DOUBLE * confidence_score AS score, rank_position FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence_score DESC, chunk_index, chunk_id) AS rank_position FROM (
     SELECT DISTINCT t.query_id, c.chunk_id, c.confidence_score, c.chunk_index FROM terms t JOIN chunk c ON c.namespace = t.namespace AND contains(lower(c.text), t.t))) WHERE rank_position <= {K})"""
 
 
-@query(f"WITH {CHUNKS_SQL}, {_TERMS}, {_KEYWORD} SELECT query_id, chunk_id, round(score, 6) AS score, rank_position FROM kw")
+@query(f"WITH {CHUNKS_SQL}, {TERMS_SQL}, {KEYWORD_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank_position FROM kw")
 def keyword_topk(spark, folder):
     hits = se.keyword_top_k(question_terms(spark, folder), chunk_view(spark, folder), K)
     return hits.withColumn("score", F.round("score", 6))
@@ -158,7 +158,7 @@ def fused_hits(spark, folder, chunks: DataFrame) -> DataFrame:
     return se.reciprocal_rank_fusion(semantic, keyword, 15)
 
 
-@query(f"WITH {CHUNKS_SQL}, {_TERMS}, {_KEYWORD}, {_SEMANTIC}, {_FUSED} SELECT query_id, chunk_id, semantic_score, round(metadata_score, 6) AS metadata_score, combined_score, rank_position FROM fused")
+@query(f"WITH {CHUNKS_SQL}, {TERMS_SQL}, {KEYWORD_SQL}, {_SEMANTIC}, {_FUSED} SELECT query_id, chunk_id, semantic_score, round(metadata_score, 6) AS metadata_score, combined_score, rank_position FROM fused")
 def rrf_fusion(spark, folder):
     return fused_hits(spark, folder, stored_chunk_view(spark, folder)).withColumn("metadata_score", F.round("metadata_score", 6))
 
@@ -180,7 +180,7 @@ full_hits AS (SELECT f.query_id, f.chunk_id, f.semantic_score, f.combined_score
 scored AS (SELECT *, {_OVERLAP} AS model_score FROM full_hits),
 finals AS (SELECT *, round(model_score + metadata_boost, 9) AS final_score, fused_score * 0.3::DOUBLE + model_score * 0.7::DOUBLE AS combined_score FROM scored),
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank_position FROM finals) WHERE rank_position <= {K})"""
-_ALL = f"{CHUNKS_SQL}, {_TERMS}, {_KEYWORD}, {_SEMANTIC}, {_FUSED}, {_RANKED}"
+_ALL = f"{CHUNKS_SQL}, {TERMS_SQL}, {KEYWORD_SQL}, {_SEMANTIC}, {_FUSED}, {_RANKED}"
 
 
 def ranked_hits(spark, folder) -> DataFrame:
@@ -270,7 +270,7 @@ def filtered_questions(spark, folder) -> DataFrame:
     return embedded_questions(spark, folder).withColumns({"filter_chunk_type": F.lit("coverage"), "filter_company_name": F.lit("english")})
 
 
-@query(f"""WITH {CHUNKS_SQL}, {_TERMS}, {_SEMANTIC},
+@query(f"""WITH {CHUNKS_SQL}, {TERMS_SQL}, {_SEMANTIC},
  ok AS (SELECT s.* FROM sims s JOIN chunk c USING (chunk_id) WHERE c.chunk_type = 'coverage' AND contains(lower(c.company_name), 'english')),
  hits AS (SELECT DISTINCT t.query_id, c.chunk_id, c.confidence_score, c.chunk_index FROM terms t JOIN chunk c ON c.namespace = t.namespace AND contains(lower(c.text), t.t) WHERE c.chunk_type = 'coverage' AND contains(lower(c.company_name), 'english'))
 SELECT query_id, chunk_id, 'semantic' AS side, rank_position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank_position FROM ok) WHERE rank_position <= {K}
@@ -307,7 +307,7 @@ def multi_query_merge(spark, folder):
     return se.best_per_chunk(hits.withColumn("query_id", F.split("query_id", "#")[0]), K)
 
 
-@query(f"""WITH {CHUNKS_SQL}, {_TERMS}, few AS (SELECT query_id FROM (SELECT DISTINCT t.query_id, c.chunk_id FROM questions q LEFT JOIN terms t USING (query_id) JOIN chunk c ON c.namespace = t.namespace AND contains(lower(c.text), t.t)) GROUP BY query_id HAVING count(*) >= 50),
+@query(f"""WITH {CHUNKS_SQL}, {TERMS_SQL}, few AS (SELECT query_id FROM (SELECT DISTINCT t.query_id, c.chunk_id FROM questions q LEFT JOIN terms t USING (query_id) JOIN chunk c ON c.namespace = t.namespace AND contains(lower(c.text), t.t)) GROUP BY query_id HAVING count(*) >= 50),
  poor AS (SELECT * FROM questions WHERE query_id NOT IN (SELECT query_id FROM few)), vowels AS (SELECT query_id, namespace, unnest(['the', 'de']) AS t FROM poor),
  hits AS (SELECT DISTINCT v.query_id, c.chunk_id, c.confidence_score, c.chunk_index FROM vowels v JOIN chunk c ON c.namespace = v.namespace AND contains(lower(c.text), v.t))
 SELECT query_id, chunk_id, rank_position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence_score DESC, chunk_index, chunk_id) AS rank_position FROM hits) WHERE rank_position <= {K}""")

@@ -143,7 +143,7 @@ def sanitised_metadata(spark, folder):
 
 # --- tables on storage and streams ------------------------------------------------------------
 
-def _scratch(spark) -> str:
+def scratch(spark) -> str:
     """A new folder below the cluster's checkpoint folder; a local one only in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -156,7 +156,7 @@ def _scratch(spark) -> str:
 @query(f"""WITH {CHUNKS_SQL} SELECT namespace, count(*) AS chunks, sum(len({sql_words('text')}))::BIGINT AS words FROM chunk WHERE namespace <> 'de' GROUP BY namespace""")
 def stored_chunks(spark, folder):
     """Write the chunk view, upsert half of it again, delete one namespace, replace another, read back."""
-    path = _scratch(spark) + "/chunks"
+    path = scratch(spark) + "/chunks"
     rows = chunk_view(spark, folder).withColumn("version", F.lit(1))
     index.upsert(rows, path)
     index.upsert(rows.filter("chunk_index < 5").withColumn("version", F.lit(2)), path)
@@ -168,7 +168,7 @@ def stored_chunks(spark, folder):
 @query("SELECT lang AS namespace, count(*) AS documents FROM (SELECT lang, md5(text) AS t FROM documents GROUP BY ALL) GROUP BY lang")
 def stream_distinct(spark, folder):
     """Each distinct text once through the stream, as ingest does per namespace."""
-    base = _scratch(spark)
+    base = scratch(spark)
     docs = spark.readStream.schema(table(spark, folder, "documents").schema).parquet(f"{folder}/documents.parquet*")
     once = jobs.first_per_namespace(docs.withColumn("namespace", F.md5("text")))
 
@@ -182,7 +182,7 @@ def stream_distinct(spark, folder):
 @query()
 def stream_ingest(spark, folder):
     """Streaming ingest of every document; each namespace is a distinct text."""
-    base = _scratch(spark)
+    base = scratch(spark)
     docs = spark.readStream.schema(table(spark, folder, "documents").schema).parquet(f"{folder}/documents.parquet*")
     docs = docs.withColumn("namespace", F.md5("text"))
     jobs.ingest_stream(docs, f"{base}/chunks", f"{base}/state", separator="\n", min_paragraph=0).awaitTermination()
@@ -193,7 +193,7 @@ def stream_ingest(spark, folder):
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS requests, round(avg(value), 6) AS avg_value FROM events GROUP BY ALL""")
 def stream_metrics(spark, folder):
     """Hourly request metrics; one file is one batch, so no row is late."""
-    base = _scratch(spark)
+    base = scratch(spark)
     events = spark.readStream.schema(table(spark, folder, "events").schema).parquet(f"{folder}/events.parquet*")
     rolled = jobs.request_metrics(events, delay=None)
 

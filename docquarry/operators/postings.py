@@ -89,7 +89,7 @@ def best_by_postings(index: DataFrame, wanted: DataFrame, k: int, scope: str = "
     All terms of a scope share the order of its chunks. So the ``head`` best chunks of each scope come
     first: terms with k hits among them are done, and those are the frequent terms, which most of the
     vocabulary contains. Only the others are looked up in the whole index."""
-    wanted = write_once(wanted.select(scope, "term").distinct())
+    wanted = wanted.select(scope, "term").distinct()
     chunk = F.struct((-F.col("confidence_score")).alias("c"), "chunk_index", "chunk_id")
     bound = top_k(index.select(scope, "confidence_score", "chunk_index", "chunk_id").distinct(), [scope], hit_order(), head, salt=F.col("chunk_id"), salts=salts)
     bound = write_once(bound.groupBy(scope).agg(F.max(chunk).alias("_last")))

@@ -78,18 +78,21 @@ def keyword_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, terms:
     asked = queries.select("query_id", F.col("namespace").alias("_ns"), *names, limit.alias("_k"),
                            F.explode(F.array_distinct(F.transform(terms, lambda t: F.lower(t)))).alias("term"))
     asked = asked.withColumn("_scope", scope_key(F.col("_ns"), *[F.col(n) for n in names])).filter("term <> ''")
-    wanted = asked.select("_ns", *names, "_scope", "term").distinct()
+    wanted = write_once(asked.select("_ns", *names, "_scope", "term").distinct())
     texts = [F.lower("text")] + ([F.lower(F.array_join("keywords", " "))] if "keywords" in chunks.columns else [])
     c = chunks.select("namespace", "chunk_id", "confidence_score", "chunk_index", *used, F.concat_ws("\u0000", *texts).alias("haystack"))
     match = filter_test({n: F.col(f"filter_{n}") for n in used}, {n: F.col(n) for n in used})
     order = [F.col("confidence_score").desc(), F.col("chunk_index"), F.col("chunk_id")]
-    scopes = broadcast_if_small(wanted.select("_ns", *names, "_scope").distinct())
-    scoped = c.join(scopes, (F.col("namespace") == F.col("_ns")) & match)
-    index = write_once(postings(scoped, ["_scope"], k, salts))
-    best = best_by_postings(index, wanted.filter(is_one_word(F.col("term"))), k, salts=salts)
-    spanning = wanted.filter(~is_one_word(F.col("term")))
-    if not spanning.isEmpty():
-        best = best.unionByName(best_per_term(c, spanning, k, names, match, used, salts))
+    if wanted.isEmpty():
+        best = queries.sparkSession.createDataFrame([], "_scope string, term string, chunk_id string, confidence_score double, chunk_index bigint")
+    else:
+        scopes = broadcast_if_small(wanted.select("_ns", *names, "_scope").distinct())
+        scoped = c.join(scopes, (F.col("namespace") == F.col("_ns")) & match)
+        index = write_once(postings(scoped, ["_scope"], k, salts))
+        best = best_by_postings(index, wanted.filter(is_one_word(F.col("term"))), k, salts=salts)
+        spanning = wanted.filter(~is_one_word(F.col("term")))
+        if not spanning.isEmpty():
+            best = best.unionByName(best_per_term(c, spanning, k, names, match, used, salts))
     hits = asked.select("query_id", "_scope", "term", "_k").join(best, ["_scope", "term"])
     hits = hits.select("query_id", "_k", "chunk_id", "confidence_score", "chunk_index").distinct()
     ranked = top_k(hits, ["query_id"], order, "_k", bound=k)

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry import lexicon as lx
+from docquarry.functions.ids import context_hash, memo_key
 from docquarry.functions.replies import parse_reply
 from docquarry.functions.text import lit_array, query_with_suffix
 from docquarry.operators import context as ctx
 from docquarry.operators.domain import detect_domain, metadata_text, with_domain_settings
 from docquarry.plans.hybrid import hybrid_search
+from docquarry.plans.reuse import replies_with_memo
 from docquarry.scale import cut_lineage
 from docquarry.slots import answer_prompts
 
@@ -31,10 +33,12 @@ def prepare_questions(queries: DataFrame) -> DataFrame:
 
 
 def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, *, answerer=None, k: int = 60,
-           budget: int = lx.CONTEXT_BUDGET, **search) -> DataFrame:
+           budget: int = lx.CONTEXT_BUDGET, memo: str | None = None, now: Column | None = None, **search) -> DataFrame:
     """One answer row per question, with its analysis and retrieval statistics.
 
-    Questions without results get a fixed row with confidence 0."""
+    Questions without results get a fixed row with confidence 0. A question whose prompt the
+    answerer fails on gets an error row; the others are answered. With ``memo``, the path of a
+    stored table, a reply for the same context and question is used again while it is fresh."""
     q = prepare_questions(queries.withColumn("query_id", F.col("query_id").cast("string")))
     results = cut_lineage(hybrid_search(
         q.select("query_id", "namespace", "question", "top_k", "domain", *[c for c in q.columns if c.startswith("user_")]),
@@ -49,7 +53,20 @@ def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, *, answere
     ready = ready.withColumn("prompt", F.concat(
         ctx.system_prompt(F.col("primary_policy_uin"), F.col("primary_company"), F.col("sections_involved"), F.col("content_types")),
         F.lit("\n"), ctx.user_prompt(F.col("asked"), F.col("context"))))
-    replied = answer_prompts(ready, answerer, sources="source_chunks", score="best_match_score").withColumns({f"r_{n}": c for n, c in parse_reply(F.col("reply")).items()})
+
+    def reply(rows: DataFrame) -> DataFrame:
+        return answer_prompts(rows, answerer, sources="source_chunks", score="best_match_score")
+
+    if memo is None:
+        replied = reply(ready)
+    else:
+        texts = F.transform(F.sort_array(F.collect_list(F.struct("rank_position", "text"))), lambda x: x["text"])
+        ready = ready.join(results.filter("rank_position <= 10").groupBy("query_id").agg(context_hash(texts).alias("context_key")), "query_id")
+        replied = replies_with_memo(ready, memo, now if now is not None else F.current_timestamp(), reply, memo_key(F.lit("answer"), F.col("context_key"), F.col("asked")))
+    parsed = parse_reply(F.col("reply"))
+    failed = F.col("reply_error").isNotNull()
+    instead = {"answer": F.concat(F.lit("Error processing query: "), "reply_error"), "confidence": F.lit(0.0), "reasoning": F.concat(F.lit("Processing error: "), "reply_error"), "sources": lit_array([]), "error": F.lit(True)}
+    replied = replied.withColumns({f"r_{n}": F.when(failed, instead[n]).otherwise(c) if n in instead else c for n, c in parsed.items()})
     keep = ["primary_policy_uin", "primary_company", "sections_involved", "content_types", "search_precision", "metadata_completeness",
             "total_results", "avg_semantic_score", "avg_combined_score", "top_result_score", "best_match_score"]
     done = replied.select("query_id", *[c for c in replied.columns if c.startswith("r_")], *keep)

@@ -87,27 +87,48 @@ def score_pairs(df: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Serie
     return df.withColumn(out, run(F.col(query), F.col(text)))
 
 
+def isolated(call: Callable[[pd.Series], list], values: pd.Series) -> tuple[list, list[str | None]]:
+    """Results of a batch callable and the error of each row that has none.
+
+    A batch that fails, or returns another number of results, is tried again in halves until
+    the rows that fail stand alone."""
+    try:
+        got = list(call(values))
+        if len(got) != len(values):
+            raise ValueError(f"{len(got)} results for {len(values)} rows")
+        return got, [None] * len(got)
+    except Exception as error:  # a user model may raise anything; its row reports it
+        if len(values) <= 1:
+            return [None] * len(values), [f"{type(error).__name__}: {error}"] * len(values)
+    half = len(values) // 2
+    (left, one), (right, two) = (isolated(call, part.reset_index(drop=True)) for part in (values.iloc[:half], values.iloc[half:]))
+    return left + right, one + two
+
+
 def answer_prompts(df: DataFrame, answerer: Callable[[pd.Series], list] | None = None, prompt: str = "prompt",
                    fallback: str = "best_text", out: str = "reply", sources: str | None = None, score: str | None = None) -> DataFrame:
     """Reply column by a user callable ``prompts -> replies``; without one the reply
     is extractive: a JSON object that quotes the best text, with the chunk ids in column
-    ``sources`` and the score in column ``score``, limited to 0 to 1, as its confidence."""
+    ``sources`` and the score in column ``score``, limited to 0 to 1, as its confidence.
+
+    A prompt for which the callable fails has no reply and its error in ``{out}_error``; the
+    other prompts of its batch are answered."""
     if answerer is None:
         confidence = F.greatest(F.least(F.coalesce(F.col(score), F.lit(0.0)), F.lit(1.0)), F.lit(0.0)) if score else F.lit(1.0)
         quoted = F.to_json(F.struct(
             F.col(fallback).alias("answer"), confidence.alias("confidence"), F.lit("Best matching passage").alias("reasoning"),
             (F.col(sources) if sources else lit_array([])).alias("sources")))
-        return df.withColumn(out, quoted)
+        return df.withColumn(out, quoted).withColumn(f"{out}_error", F.lit(None).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prompts = batch.column(prompt).to_pandas()
-            replies = pa.array([None if r is None else str(r) for r in answerer(prompts)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, replies], names=[*batch.schema.names, out])
+            got, errors = isolated(answerer, batch.column(prompt).to_pandas())
+            replies = pa.array([None if r is None else str(r) for r in got], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, replies, pa.array(errors, pa.string())], names=[*batch.schema.names, out, f"{out}_error"])
 
     from pyspark.sql import types as T
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField(f"{out}_error", T.StringType())]))
 
 
 def count_tokens(df: DataFrame, counter: Callable[[pd.Series], list], text: str = "text", out: str = "tokens") -> DataFrame:

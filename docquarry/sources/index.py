@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docquarry.functions.text import is_blank
 from docquarry.operators.memo import latest_versions, not_processed
@@ -75,13 +76,13 @@ def _write(df: DataFrame, path: str, key: str, buckets: int) -> None:
 def _add(path: str, rows: DataFrame | None, gone: DataFrame | None, key: str, buckets: int, spark: SparkSession, replaces: Sequence[str] = (), seq: int | None = None) -> None:
     """Write the layers of one commit, then the commit. ``gone`` has the namespaces whose earlier rows go."""
     number, name = _next(spark, path)
-    entry = {"number": number, "id": name, "seq": seq or number, "rows": None, "gone": None, "replaces": list(replaces)}
+    entry = {"number": number, "id": name, "seq": seq or number, "rows": None, "gone": None, "schema": None, "replaces": list(replaces)}
     if rows is not None:
-        entry["rows"] = f"layers/{name}-rows"
+        entry["rows"], entry["schema"] = f"layers/{name}-rows", rows.schema.jsonValue()
         _write(rows, f"{path}/{entry['rows']}", key, buckets)
     if gone is not None:
         entry["gone"] = f"layers/{name}-gone"
-        gone.select("namespace").distinct().write.parquet(f"{path}/{entry['gone']}")
+        gone.select(F.col("namespace").cast("string").alias("namespace")).distinct().write.parquet(f"{path}/{entry['gone']}")
     _commit(spark, path, entry)
 
 
@@ -112,14 +113,14 @@ def read_table(
         raise FileNotFoundError(f"no table at {path}")
 
     def layer(entry: dict) -> DataFrame:
-        rows = spark.read.parquet(f"{path}/{entry['rows']}")
+        rows = spark.read.schema(T.StructType.fromJson(entry["schema"]).add("ns_bucket", T.IntegerType())).parquet(f"{path}/{entry['rows']}")
         if namespaces is not None:
             wanted = [bucket_of(F.lit(n), buckets) for n in namespaces]
             rows = rows.filter(F.col("ns_bucket").isin(*wanted) & F.col("namespace").isin(list(namespaces)))
         rows = rows.drop("ns_bucket").withColumn(SEQ, F.lit(entry["seq"]))
         later = [e for e in live if e["gone"] and e["seq"] > entry["seq"]]
         for e in later:
-            rows = rows.join(spark.read.parquet(f"{path}/{e['gone']}"), "namespace", "left_anti")
+            rows = rows.join(spark.read.schema("namespace string").parquet(f"{path}/{e['gone']}"), "namespace", "left_anti")
         return rows
 
     layers = [layer(e) for e in sorted((e for e in live if e["rows"]), key=lambda e: e["seq"])]
@@ -173,15 +174,16 @@ def replace_namespaces(new: DataFrame, path: str, key: str = "chunk_id", version
     _add(path, _latest(new, key, version), new.select("namespace"), key, buckets, new.sparkSession)
 
 
-def compact(spark: SparkSession, path: str, key: str = "chunk_id", version: str = "version", buckets: int = BUCKETS) -> list[str]:
-    """Fold all layers into one and return the folders that readers no longer need.
+def compact(spark: SparkSession, path: str, key: str = "chunk_id", version: str = "version", buckets: int = BUCKETS, keep: Column | None = None) -> list[str]:
+    """Fold all layers into one, of the rows for which ``keep`` holds, and return the folders that readers no longer need.
 
     Commits that others make meanwhile stay valid: the new layer stands for the commits it
     read and has their place in the order."""
     live = live_layers(spark, path)
-    if len(live) < 2:
+    if len(live) < (2 if keep is None else 1):
         return []
     rows = read_table(spark, path, buckets=buckets, key=key, version=version)
+    rows = rows if keep is None else rows.filter(keep)
     _add(path, rows, None, key, buckets, spark, [e["id"] for e in live], max(e["seq"] for e in live))
     return [f"{path}/{e[kind]}" for e in live for kind in ("rows", "gone") if e[kind]]
 
@@ -189,8 +191,6 @@ def compact(spark: SparkSession, path: str, key: str = "chunk_id", version: str
 def sanitise_metadata(df: DataFrame) -> DataFrame:
     """Columns a vector table can hold: scalars stay, lists become string lists,
     structs and maps JSON, other types strings; NULL stays NULL."""
-    from pyspark.sql import types as T
-
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
