@@ -10,6 +10,7 @@ from docquarry.operators import chunking as ch
 from docquarry.operators import stats
 from docquarry.operators import structure as st
 from docquarry.operators import tables as tb
+from docquarry.operators.domain import with_domain_settings
 from docquarry.plans import ingest as ing
 from docquarry.scale import explode_rows
 
@@ -168,6 +169,19 @@ def fixed_window_chunks(spark, folder):
     return rows.select("doc_id", "w.start_char", "w.text")
 
 
+def _windows_sql(size: str, overlap: str) -> str:
+    head = f"floor({size} * 0.8)::BIGINT"
+    last = lambda p: f"nullif(length(regexp_extract(z, '(?s)^(.*{p}(?:\\s|$))', 1)), 0)"
+    snapped = f"(s + {head} + coalesce({last(chr(92) + '.')}, {last('[!?]')}, {last(';')}))"
+    ends = f"""SELECT *, CASE WHEN s + {size} < n THEN coalesce({snapped}, s + {size}) ELSE s + {size} END AS e FROM (SELECT *, substr(text, s + {head} + 1, {size} - {head}) AS z FROM w)"""
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, lang, text, length(text) AS n, 0::BIGINT AS s FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, lang, text, n, greatest(s + 1, e - {overlap}) FROM ({ends}) WHERE greatest(s + 1, e - {overlap}) < n),
+ ends AS ({ends})
+SELECT doc_id, s AS start_char, e AS end_char, {sql_strip('substr(text, s + 1, e - s)')} AS text FROM ends WHERE {sql_strip('substr(text, s + 1, e - s)')} <> ''"""
+
+
 @query(f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, text, length(text) AS n, 0::BIGINT AS s FROM documents WHERE length(text) > 0
@@ -182,6 +196,25 @@ def snap_window_chunks(spark, folder):
     return rows.select("doc_id", "w.start_char", "w.end_char", "w.text")
 
 
+_DOMAIN_OF = {"en": "legal", "fr": "hr", "de": "technical", "es": "insurance"}
+_SIZES = {row[0]: row[1:3] for row in lx.DOMAIN_SETTINGS}
+
+
+def _by_language(at: int) -> str:
+    return "(CASE " + " ".join(f"WHEN lang = '{lang}' THEN {_SIZES[d][at]}" for lang, d in _DOMAIN_OF.items()) + f" ELSE {_SIZES['general'][at]} END)"
+
+
+@query(_windows_sql(_by_language(0), _by_language(1)))
+def domain_window_chunks(spark, folder):
+    """Windows of the size and overlap of each document's domain; a language stands for a domain."""
+    name = F.lit("general")
+    for lang, domain in _DOMAIN_OF.items():
+        name = F.when(F.col("lang") == lang, F.lit(domain)).otherwise(name)
+    docs = with_domain_settings(table(spark, folder, "documents").withColumn("domain", name))
+    rows = explode_rows(docs, ["doc_id"], ch.sliding_windows(F.col("text"), F.col("chunk_size"), F.col("chunk_overlap")), "_i", "w")
+    return rows.select("doc_id", "w.start_char", "w.end_char", "w.text")
+
+
 def _items_sql() -> str:
     def starts(kind: str, flag: str) -> str:
         return "(" + " OR ".join(f"regexp_matches({sql_strip('raw')}, {sql_text(flag + p)})" for p in lx.ITEM_STARTS[kind]) + ")"

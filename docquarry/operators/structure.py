@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docquarry import lexicon as lx
 from docquarry.functions.text import first_match, strip
+from docquarry.operators.expand import per_domain
 from docquarry.scale import explode_rows
 
 
@@ -34,23 +36,27 @@ def with_headers(
     titles=lx.SECTION_TITLES["insurance"],
     section_words=lx.SECTION_WORDS,
     min_length: int = 3,
+    domain: Column | None = None,
 ) -> DataFrame:
     """Add ``lines`` and ``headers`` (line, text, type, level, section_type, content_start, content_end).
 
     General patterns are tried in order; a line none of them matches may still be
     a section title of the domain, where the last matching type wins. A section
-    ends before the next header of the same or a higher level.
+    ends before the next header of the same or a higher level. ``titles`` may map domains to
+    their titles; then ``domain`` chooses per row, and other domains have the general ones.
     """
-    any_header = _any_of([p for p, _, _ in patterns] + [p for _, p in titles])
+    def titled(build) -> Column:
+        return per_domain(domain, titles, build, "general") if isinstance(titles, Mapping) else build(titles)
+
+    def is_header(line: Column) -> Column:
+        return titled(lambda some: line.rlike(_any_of([p for p, _, _ in patterns] + [p for _, p in some])))
 
     def classify(x: Column) -> Column:
         line_text = x["text"]
         kind = F.when(F.lit(False), F.struct(F.lit("").alias("type"), F.lit(0).alias("level")))
         for p, name, level in patterns:
             kind = kind.when(line_text.rlike("(?i)" + p), F.struct(F.lit(name).alias("type"), F.lit(level).alias("level")))
-        title = F.when(F.lit(False), F.lit(""))
-        for name, p in reversed(list(titles)):
-            title = title.when(line_text.rlike("(?i)" + p), F.lit(name))
+        title = titled(lambda some: reduce(lambda found, t: found.when(line_text.rlike("(?i)" + t[1]), F.lit(t[0])), reversed(list(some)), F.when(F.lit(False), F.lit(""))))
         return F.struct(x["line"].alias("line"), line_text.alias("text"), kind.alias("kind"), title.alias("title"))
 
     def settle(x: Column) -> Column:
@@ -65,7 +71,7 @@ def with_headers(
         )
 
     numbered = F.transform(F.col("lines"), lambda l, i: F.struct(i.alias("line"), strip(l).alias("text")))
-    candidates = F.filter(numbered, lambda x: (F.length(x["text"]) >= min_length) & x["text"].rlike(any_header))
+    candidates = F.filter(numbered, lambda x: (F.length(x["text"]) >= min_length) & is_header(x["text"]))
     df = df.withColumn("lines", split_lines(F.col(text)))
     df = df.withColumn("_found", F.transform(F.transform(candidates, classify), settle))
 

@@ -15,17 +15,19 @@ DOCUMENT = ["namespace", "doc_id", "file_name", "policy_uin", "company_name", "p
 
 def prepare(documents: DataFrame, *, namespace: Column | None = None, companies=lx.COMPANY_PATTERNS,
             types=lx.POLICY_TYPE_TERMS, domain_name: str = "insurance", titles=None, headers=lx.HEADER_PATTERNS,
-            separator: str = "\n\n", target: int = lx.TARGET_TOKENS, maximum: int = lx.MAX_TOKENS,
-            min_paragraph: int = 50) -> DataFrame:
+            separator: str = "\n\n", target: int | Column = lx.TARGET_TOKENS, maximum: int | Column = lx.MAX_TOKENS,
+            min_paragraph: int = 50, domain_column: str | None = None) -> DataFrame:
     """Document rows with metadata, table blocks, headers and chunk pieces.
 
-    Section titles are those of ``domain_name`` unless ``titles`` names others."""
-    titles = lx.SECTION_TITLES[domain_name] if titles is None else titles
+    Section titles are those of ``domain_name`` unless ``titles`` names others. ``domain_column`` names
+    a column of ``documents`` whose domain chooses the titles of each row; ``titles`` then maps domains
+    to titles. Sizes may be columns too, so one ingest serves documents of all domains."""
+    titles = titles if titles is not None else lx.SECTION_TITLES if domain_column else lx.SECTION_TITLES[domain_name]
     key = create_namespace(F.col("source")) if namespace is None else namespace
     df = domain.document_metadata(documents.withColumn("namespace", key), companies=companies, types=types)
     df = tables.with_tables(df.withColumn("lines", structure.split_lines(F.col("text"))))
     df = df.withColumn("_body", F.array_join("text_lines", "\n")).drop("lines", "text_lines", "text")
-    df = structure.with_headers(df, "_body", patterns=headers, titles=titles).drop("_body")
+    df = structure.with_headers(df, "_body", patterns=headers, titles=titles, domain=F.col(domain_column) if domain_column else None).drop("_body")
     return chunking.with_pieces(df, separator, target, maximum, min_paragraph=min_paragraph)
 
 
