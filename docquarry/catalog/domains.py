@@ -93,12 +93,11 @@ def requested_domain(spark, folder):
 
 
 @query(f"""
-WITH f AS (SELECT doc_id, coalesce(nullif(t, ''), concat_ws(' ', source, '', lang)) AS used FROM (SELECT *, CASE WHEN n_chars > 500 THEN text ELSE '' END AS t FROM documents)),
+WITH f AS (SELECT doc_id, coalesce(nullif(text, ''), concat_ws(' ', source, '', lang)) AS used FROM documents),
 b AS (SELECT doc_id, {_score_sql(LANGUAGES)} AS best FROM (SELECT doc_id, lower(used) AS low FROM f))
 SELECT doc_id, CASE WHEN best.s > 0.1 THEN best.n ELSE 'general' END AS domain FROM b""")
 def domain_fallback_text(spark, folder):
     """Detection on metadata text where the document text is missing."""
-    shown = F.when(F.col("n_chars") > 500, F.col("text"))
-    used = dm.metadata_text(shown, F.col("source"), F.lit(None).cast("string"), F.col("lang"))
+    used = dm.metadata_text(F.col("text"), F.col("source"), F.lit(None).cast("string"), F.col("lang"))
     docs = table(spark, folder, "documents").withColumn("used", used)
     return docs.select("doc_id", dm.domain_by_score(F.col("used"), LANGUAGES)["domain"].alias("domain"))

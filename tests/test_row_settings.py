@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from docquarry import lexicon as lx
+from docquarry.operators.domain import metadata_text
 from docquarry.plans.ingest import chunks, prepare
 
 
@@ -22,3 +23,9 @@ def test_titles_and_sizes_of_each_document(spark):
     assert "termination" in types[0] & types[1] and "employment" in types[1] and "employment" not in types[0]
     tokens = {i: [r.sub_chunk_tokens for r in found if r.doc_id == i and r.is_sub_chunk] for i in range(5)}
     assert max(tokens[0]) <= 60 < max(tokens[2])
+
+
+def test_metadata_stands_in_for_a_missing_text(spark):
+    rows = spark.createDataFrame([("whole text", "t", "p", "c"), ("", "t", None, "c"), (None, "t", "p", None)], "text string, title string, policy string, company string")
+    got = [r[0] for r in rows.select(metadata_text(*map(F.col, rows.columns))).collect()]
+    assert got == ["whole text", "t  c", "t p "]
