@@ -253,11 +253,15 @@ class WordStream:
 
 def sign_kinds() -> np.ndarray:
     """Kind of every code point: white space, letter, number or other."""
-    signs = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text, kinds, numbers = "".join(map(chr, signs)), np.full(0x110000, OTHER, np.uint8), np.array(signs)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE_SIGN, f"[{WHITE}]+")):
-        for run in regex.finditer(pattern, text):
-            kinds[numbers[run.start():run.end()]] = kind
+    kinds = np.full(0x110000, OTHER, np.uint8)
+    patterns = [(kind, regex.compile(p)) for kind, p in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE_SIGN, f"[{WHITE}]+"))]
+    for start in range(0, 0x110000, 0x800):
+        if 0xD800 <= start < 0xE000:  # no characters
+            continue
+        text = "".join(map(chr, range(start, start + 0x800)))
+        for kind, pattern in patterns:
+            for run in pattern.finditer(text):
+                kinds[start + run.start():start + run.end()] = kind
     return kinds
 
 

@@ -16,6 +16,7 @@ from docquarry.llm.tokens import text_batches
 from docquarry.llm.words import Words, mixed, overlap, shingle_set
 
 SALTS = 64
+SHORT = 64  # shingles of an item that carries its whole set
 
 
 @dataclass(frozen=True)
@@ -79,16 +80,16 @@ class MinHash:
         return F.when(total <= bins, most).otherwise(usual)
 
 
-SIGNED = "item bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch array<bigint>"
+SIGNED = "item bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch array<bigint>, shingles array<bigint>"
 
 
 def signatures(texts: DataFrame, scheme: MinHash) -> DataFrame:
-    """``texts(item, text)`` -> item, n_shingles, digest of the shingle set, band keys, odd sketch."""
+    """``texts(item, text)`` -> item, n_shingles, digest of the shingle set, band keys, odd sketch, and the set if it is SHORT."""
 
     def run(batches):
         for part, _ in text_batches(batches, values=False):
             words = Words(part.column(1))
-            count, digest, keys, sketches = [], [], [], []
+            count, digest, keys, sketches, sets = [], [], [], [], []
             for i in range(part.num_rows):
                 found = shingle_set(words.of(i))
                 count.append(len(found))
@@ -96,8 +97,9 @@ def signatures(texts: DataFrame, scheme: MinHash) -> DataFrame:
                 minima = scheme.minima(found)
                 keys.append(scheme.keys(minima))
                 sketches.append(scheme.sketch(found))
+                sets.append(found.view(np.int64) if len(found) <= SHORT else None)
             lists = [pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * np.int32(len(x[0])), pa.array(np.concatenate(x).view(np.int64))) for x in (keys, sketches)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), *lists], ["item", "n_shingles", "digest", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), *lists, pa.array(sets, pa.list_(pa.int64()))], ["item", "n_shingles", "digest", "keys", "sketch", "shingles"])
 
     return texts.select("item", "text").mapInArrow(run, SIGNED)
 
@@ -117,11 +119,19 @@ def may_be_similar(a: str, b: str, scheme: MinHash, similarity: float) -> Column
     return sizes & (different_bits(f"sketch{a}", f"sketch{b}", scheme.bits // 64) <= scheme.most_different(n, m, similarity))
 
 
+def sets_allow(a: str, b: str, percent: int) -> Column:
+    """Whether the sets of two SHORT items have the similarity; true where one of them is not at hand."""
+    common = F.size(F.array_intersect(f"shingles{a}", f"shingles{b}"))
+    return F.coalesce(100 * common >= percent * (F.col(f"n{a}") + F.col(f"n{b}") - common), F.lit(True))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= ``percent`` * union of their full shingle sets.
 
-    The texts of b go to a's group, which is split by a salt, and stream past the set of a."""
-    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    Pairs that are ``exact`` stand already. Of the others the texts of b go to a's group, which is
+    split by a salt, and stream past the set of a."""
+    exact = pairs.filter("exact").select("a", "b")
+    pairs = pairs.filter("NOT exact").select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
     roles = pairs.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("item")).distinct().unionAll(pairs.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("item")))
     wanted = rows_of(texts.select("item", "text"), roles.select("item").distinct(), "item")
     rows = roles.join(wanted, "item").select("a", "salt", "role", "item", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
@@ -141,7 +151,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                         out.append((a, item))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return exact.unionAll(rows.mapInArrow(run, "a bigint, b bigint"))
 
 
 def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percent: int = 75, repeated: bool = False, rounds: int = 2) -> DataFrame:
@@ -154,24 +164,25 @@ def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percen
     bands, as the original of many edited copies does. Further ``rounds`` take other hubs in
     bands whose items still lie in several components. Then, in bands that are split still, all
     pairs across components whose sketches are near are compared, so that a link is skipped only
-    where both ends are joined already. No pair within a component is ever written.
+    where both ends are joined already. No pair within a component is ever written. SHORT items carry
+    their whole sets, so of them only links leave a join; texts move for longer ones.
     """
-    similarity = percent / 100
     bands = signed.filter("n_shingles > 0").select("item", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("item").alias("first"), F.max("item").alias("last"), F.count(F.lit(1)).alias("size")).filter("first < last")
     met = stored(bands.join(shared.select("key", "size"), "key").select("key", "item", "size").distinct())
     degrees = met.groupBy("item").agg(F.sum("size").alias("degree"))
-    sketches = rows_of(signed.select("item", F.col("n_shingles").alias("n"), "sketch", "keys"), degrees.select("item"), "item")
-    sketches = stored(sketches.groupBy("item").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "keys"))))
+    sketches = rows_of(signed.select("item", F.col("n_shingles").alias("n"), "sketch", "keys", "shingles"), degrees.select("item"), "item")
+    sketches = stored(sketches.groupBy("item").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "keys", "shingles"))))
     if repeated:
         texts = stored(rows_of(texts.select("item", "text"), degrees.select("item"), "item").groupBy("item").agg(F.first("text").alias("text")))
-    one, two = (sketches.drop("keys").withColumnsRenamed({"item": c, "n": f"n{c}", "sketch": f"sketch{c}"}) for c in ("a", "b"))
+    one, two = (sketches.drop("keys").withColumnsRenamed({"item": c, "n": f"n{c}", "sketch": f"sketch{c}", "shingles": f"shingles{c}"}) for c in ("a", "b"))
     bits = different_bits("sketcha", "sketchb", scheme.bits // 64)
+    exact = lambda a, b: F.col(f"shingles{a}").isNotNull() & F.col(f"shingles{b}").isNotNull()
 
     def links(pairs: DataFrame) -> DataFrame:
         """Of hub and item pairs (a, b) the nearest hub of each item, confirmed."""
-        near = pairs.distinct().join(one, "a").join(two, "b").filter(may_be_similar("a", "b", scheme, similarity))
-        best = near.groupBy("b").agg(F.min(F.struct(bits.alias("bits"), "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+        near = pairs.distinct().join(one, "a").join(two, "b").filter(may_be_similar("a", "b", scheme, percent / 100) & sets_allow("a", "b", percent))
+        best = near.groupBy("b").agg(F.min(F.struct(bits.alias("bits"), "a", exact("a", "b").alias("exact"))).alias("best")).select("best.a", "b", "best.exact")
         return confirmed(stored(best), texts, percent)
 
     def labelled(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -195,10 +206,10 @@ def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percen
         joined = stored(components(edges))
         labels, split = labelled(joined)
     rows = labels.join(split, "key").join(sketches, "item")
-    left, right = (rows.select("key", *(F.col(c).alias(c + s) for c in ("item", "label", "n", "sketch", "keys"))) for s in ("1", "2"))
+    left, right = (rows.select("key", *(F.col(c).alias(c + s) for c in ("item", "label", "n", "sketch", "keys", "shingles"))) for s in ("1", "2"))
     once = F.col("key") == F.array_min(F.array_intersect("keys1", "keys2"))  # a pair comes from one of its bands only
-    across = left.join(right, "key").filter((F.col("item1") < F.col("item2")) & (F.col("label1") != F.col("label2")) & may_be_similar("1", "2", scheme, similarity) & once)
-    more = stored(across.select(F.col("item1").alias("a"), F.col("item2").alias("b")).distinct())
+    across = left.join(right, "key").filter((F.col("item1") < F.col("item2")) & (F.col("label1") != F.col("label2")) & may_be_similar("1", "2", scheme, percent / 100) & once & sets_allow("1", "2", percent))
+    more = stored(across.select(F.col("item1").alias("a"), F.col("item2").alias("b"), exact("1", "2").alias("exact")).distinct())
     if more.isEmpty():
         return joined
     return stored(components(edges.unionAll(confirmed(more, texts, percent))))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.near import MinHash, near_components
+from docquarry.llm.near import SHORT, MinHash, near_components
 from docquarry.llm.passages import repeated_passages, signs_before
 from docquarry.llm.store import rows_of, stored
 from docquarry.llm.tokens import text_batches
@@ -35,7 +35,7 @@ def _lines(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return text, starts, ends
 
 
-LINES = "doc_id bigint, paragraph bigint, start bigint, length bigint, n_words bigint, item bigint, n_shingles bigint, keys array<bigint>, sketch array<bigint>, text string"
+LINES = "doc_id bigint, paragraph bigint, start bigint, length bigint, n_words bigint, item bigint, n_shingles bigint, keys array<bigint>, sketch array<bigint>, shingles array<bigint>, text string"
 
 
 def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,7 +55,7 @@ def span_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.n
 
 
 def _line_signatures(words: Words, first: np.ndarray, last: np.ndarray, scheme: MinHash) -> tuple[np.ndarray, list[pa.ListArray]]:
-    """Number of shingles, band keys and odd sketch of lines of SHINGLE or more words, for all of them at once."""
+    """Number of shingles, band keys, odd sketch, and the set of SHORT ones, of lines of SHINGLE or more words, for all of them at once."""
     n = len(first)
     flat = sum(words.hashes[k:len(words.hashes) - SHINGLE + 1 + k] * PLACES[k] for k in range(SHINGLE))
     at, _, begins = _spread(first, last - first - SHINGLE + 1)
@@ -67,11 +67,16 @@ def _line_signatures(words: Words, first: np.ndarray, last: np.ndarray, scheme:
     order = np.lexsort((shingles, cell))
     cell, sorted_ = cell[order], shingles[order]
     new = np.append(True, cell[1:] != cell[:-1])
-    count = np.bincount(line[order][new | np.append(True, sorted_[1:] != sorted_[:-1])], minlength=n)
+    once = new | np.append(True, sorted_[1:] != sorted_[:-1])
+    count = np.bincount(line[order][once], minlength=n)
     places = (cell[new] // scheme.bits) * scheme.bits + scheme.places(sorted_[new])
     odd = np.bincount(places, minlength=n * scheme.bits) & 1
     sketches = np.packbits(odd.astype(np.uint8)).view(np.int64)
-    return count, [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(len(x) // n)), pa.array(x)) for x in (keys.ravel().view(np.int64), sketches)]
+    short = count <= SHORT
+    values = sorted_[once & short[line[order]]].view(np.int64)
+    sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(short, count, 0))).astype(np.int32)), pa.array(values), mask=pa.array(~short))
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(len(x) // n)), pa.array(x)) for x in (keys.ravel().view(np.int64), sketches)]
+    return count, [*lists, sets]
 
 
 def lines(documents: DataFrame, scheme: MinHash, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -126,7 +131,7 @@ def repeated_paragraphs(documents: DataFrame, percent: int = 75, recall: float =
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     scheme = tuned(percent / 100, recall)
     found = stored(lines(documents, scheme, least_words))
-    signed = found.filter("n_shingles IS NOT NULL").select("item", "n_shingles", "keys", "sketch")
+    signed = found.filter("n_shingles IS NOT NULL").select("item", "n_shingles", "keys", "sketch", "shingles")
     near = near_components(signed, found.filter("text IS NOT NULL").select("item", "text"), scheme, percent, repeated=True)
     found = found.select("doc_id", F.lit(True).alias("whole_line"), "paragraph", "start", "length", "n_words", "item")
     named = near.withColumnsRenamed({"node": "item", "component": "component_id"})

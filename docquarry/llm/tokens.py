@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 
 from docquarry.llm.bpe import transducer
 
-#: Characters of text per batch that a task returns, so that memory follows the longest text only.
-BATCH_CHARS = 1 << 20
+#: Bytes of text that a task looks at together, so that memory follows the longest text only. Arrays of
+#: words and vectors take some hundred bytes for each of them.
+BATCH_CHARS = 1 << 18
 
 
 def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text", values: bool = True) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -27,6 +28,8 @@ def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text", values
             part = batch.slice(start, end - start)
             yield part, part.column(batch.schema.get_field_index(column)).to_pylist() if values else []
             start = end
+        del texts, batch
+        pa.default_memory_pool().release_unused()  # workers are reused, and keep what they have
 
 
 def tokenize(documents: DataFrame, tokenizer: str) -> DataFrame:
@@ -35,7 +38,7 @@ def tokenize(documents: DataFrame, tokenizer: str) -> DataFrame:
     ``documents(doc_id, text)`` -> ``doc_id``, ``token_ids`` (array<int>), ``decoded``.
     ``tokenizer`` is the path of a tokenizer file on every executor. Special tokens are
     recognised in texts but not added. A text passes a transducer whose lookahead follows
-    from the merge list; no shuffle, and a task holds about a megabyte of text at a time,
+    from the merge list; no shuffle, and a task holds about a quarter of a megabyte of text at a time,
     or one longer document.
 
     NULL and empty texts have no ids and decode to the empty text. NULL ids and repeated
