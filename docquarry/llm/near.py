@@ -17,6 +17,7 @@ from docquarry.llm.words import Words, mixed, overlap, shingle_set
 
 SALTS = 64
 SHORT = 64  # shingles of an item that carries its whole set
+PAIRS_A_ROW = 4  # pairs within split bands, for each row of the bands, that are compared without further hubs
 
 
 @dataclass(frozen=True)
@@ -161,8 +162,8 @@ def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percen
     text)``, of which rows of an item are equal too if ``repeated``. Candidates share a band and
     have near odd sketches. First each item is compared with the nearest of the hubs of its bands: one
     pair per item however large a group is. A band's hub is the item that meets most others in its
-    bands, as the original of many edited copies does. Further ``rounds`` take other hubs in
-    bands whose items still lie in several components. Then, in bands that are split still, all
+    bands, as the original of many edited copies does. While pairs within bands whose items still lie in
+    several components outnumber the rows of the bands, further ``rounds`` take other hubs. Then, in bands that are split still, all
     pairs across components whose sketches are near are compared, so that a link is skipped only
     where both ends are joined already. No pair within a component is ever written. SHORT items carry
     their whole sets, so of them only links leave a join; texts move for longer ones.
@@ -186,17 +187,21 @@ def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percen
         return confirmed(stored(best), texts, percent)
 
     def labelled(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Bands with the component of each item, and the keys of those that lie in several."""
+        """Bands with the component of each item, and the keys and sizes of those that lie in several."""
         labels = stored(met.join(joined.withColumnRenamed("node", "item"), "item", "left").select("key", "item", F.coalesce("component", "item").alias("label")))
-        return labels, labels.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+        return labels, labels.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).filter("x < y").select("key", "m")
 
-    hubs = met.join(degrees, "item").groupBy("key").agg(F.max(F.struct("degree", -F.col("item"))).alias("hub")).select("key", (-F.col("hub.col2")).alias("a"))
+    hubs = met.join(degrees, "item").groupBy("key").agg(F.max(F.struct("degree", "item")).alias("hub")).select("key", F.col("hub.item").alias("a"))
     edges = stored(links(met.join(hubs, "key").filter("item <> a").select("a", F.col("item").alias("b"))))
     joined = stored(components(edges))
     labels, split = labelled(joined)
+    met_rows = met.count()
     for number in range(rounds):
-        if split.isEmpty():
+        pairs = split.agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0))).first()[0]
+        if not pairs:
             return joined
+        if pairs <= PAIRS_A_ROW * met_rows:  # a linear number is left
+            break
         rows = labels.join(split, "key")
         hubs = rows.groupBy("key").agg(F.max(F.struct(F.xxhash64("item", F.lit(number)), "item", "label")).alias("hub")).select("key", F.col("hub.item").alias("a"), F.col("hub.label").alias("own"))
         more = stored(links(rows.join(hubs, "key").filter("label <> own").select("a", F.col("item").alias("b"))))
@@ -205,7 +210,7 @@ def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percen
         edges = edges.unionAll(more)
         joined = stored(components(edges))
         labels, split = labelled(joined)
-    rows = labels.join(split, "key").join(sketches, "item")
+    rows = labels.join(split.select("key"), "key").join(sketches, "item")
     left, right = (rows.select("key", *(F.col(c).alias(c + s) for c in ("item", "label", "n", "sketch", "keys", "shingles"))) for s in ("1", "2"))
     once = F.col("key") == F.array_min(F.array_intersect("keys1", "keys2"))  # a pair comes from one of its bands only
     across = left.join(right, "key").filter((F.col("item1") < F.col("item2")) & (F.col("label1") != F.col("label2")) & may_be_similar("1", "2", scheme, percent / 100) & once & sets_allow("1", "2", percent))
