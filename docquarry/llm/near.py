@@ -105,6 +105,18 @@ def signatures(texts: DataFrame, scheme: MinHash) -> DataFrame:
     return texts.select("item", "text").mapInArrow(run, SIGNED)
 
 
+def short_sets(texts: DataFrame) -> DataFrame:
+    """``texts(item, text)`` -> item and its shingle set, NULL unless it is SHORT."""
+
+    def run(batches):
+        for part, _ in text_batches(batches, values=False):
+            words = Words(part.column(1))
+            found = [shingle_set(words.of(i)) for i in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) if len(s) <= SHORT else None for s in found], pa.list_(pa.int64()))], ["item", "shingles"])
+
+    return texts.select("item", "text").mapInArrow(run, "item bigint, shingles array<bigint>")
+
+
 def different_bits(a: str, b: str, words: int) -> Column:
     """Population count of the XOR of two sketches."""
     total = F.lit(0)
@@ -172,10 +184,13 @@ def near_components(signed: DataFrame, texts: DataFrame, scheme: MinHash, percen
     shared = bands.groupBy("key").agg(F.min("item").alias("first"), F.max("item").alias("last"), F.count(F.lit(1)).alias("size")).filter("first < last")
     met = stored(bands.join(shared.select("key", "size"), "key").select("key", "item", "size").distinct())
     degrees = met.groupBy("item").agg(F.sum("size").alias("degree"))
-    sketches = rows_of(signed.select("item", F.col("n_shingles").alias("n"), "sketch", "keys", "shingles"), degrees.select("item"), "item")
-    sketches = stored(sketches.groupBy("item").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "keys", "shingles"))))
+    names = [c for c in ("n", "sketch", "keys", "shingles") if c == "n" or c in signed.columns]
+    sketches = rows_of(signed.select("item", F.col("n_shingles").alias("n"), *names[1:]), degrees.select("item"), "item")
+    sketches = sketches.groupBy("item").agg(*(F.first(c).alias(c) for c in names))
     if repeated:
         texts = stored(rows_of(texts.select("item", "text"), degrees.select("item"), "item").groupBy("item").agg(F.first("text").alias("text")))
+        sketches = sketches.join(short_sets(texts), "item")  # of items in shared bands only
+    sketches = stored(sketches)
     one, two = (sketches.drop("keys").withColumnsRenamed({"item": c, "n": f"n{c}", "sketch": f"sketch{c}", "shingles": f"shingles{c}"}) for c in ("a", "b"))
     bits = different_bits("sketcha", "sketchb", scheme.bits // 64)
     exact = lambda a, b: F.col(f"shingles{a}").isNotNull() & F.col(f"shingles{b}").isNotNull()
