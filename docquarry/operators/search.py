@@ -64,13 +64,13 @@ def scope_key(*columns: Column) -> Column:
 
 
 def keyword_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, terms: str = "terms", per_query_k: str | None = None,
-                  salts: int = 1) -> DataFrame:
+                  salts: int = 1, indexed: bool = False) -> DataFrame:
     """Chunks that contain any search term, best confidence first:
     query_id, chunk_id, score, rank_position.
 
-    The k best chunks of each distinct (namespace, filter, term) are found first, in an inverted
-    index of the scopes that are asked; a query then only merges the short lists of its
-    terms. Terms that span words or are very long are looked for in blocks of texts.
+    The k best chunks of each distinct (namespace, filter, term) are found first; a query then
+    only merges the short lists of its terms. Terms are looked for in blocks of texts, or with ``indexed`` in
+    an inverted index of the scopes that are asked; terms that span words or are very long in blocks.
     """
     used = [n for n in FILTERS if f"filter_{n}" in queries.columns]
     names = [f"filter_{n}" for n in used]
@@ -78,12 +78,15 @@ def keyword_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, *, terms:
     asked = queries.select("query_id", F.col("namespace").alias("_ns"), *names, limit.alias("_k"),
                            F.explode(F.array_distinct(F.transform(terms, lambda t: F.lower(t)))).alias("term"))
     asked = asked.withColumn("_scope", scope_key(F.col("_ns"), *[F.col(n) for n in names])).filter("term <> ''")
-    wanted = write_once(asked.select("_ns", *names, "_scope", "term").distinct())
+    wanted = asked.select("_ns", *names, "_scope", "term").distinct()
+    wanted = write_once(wanted) if indexed else wanted
     texts = [F.lower("text")] + ([F.lower(F.array_join("keywords", " "))] if "keywords" in chunks.columns else [])
     c = chunks.select("namespace", "chunk_id", "confidence_score", "chunk_index", *used, F.concat_ws("\u0000", *texts).alias("haystack"))
     match = filter_test({n: F.col(f"filter_{n}") for n in used}, {n: F.col(n) for n in used})
     order = [F.col("confidence_score").desc(), F.col("chunk_index"), F.col("chunk_id")]
-    if wanted.isEmpty():
+    if not indexed:
+        best = best_per_term(c, wanted, k, names, match, used, salts)
+    elif wanted.isEmpty():
         best = queries.sparkSession.createDataFrame([], "_scope string, term string, chunk_id string, confidence_score double, chunk_index bigint")
     else:
         scopes = broadcast_if_small(wanted.select("_ns", *names, "_scope").distinct())

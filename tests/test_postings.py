@@ -30,7 +30,7 @@ def test_keyword_search_equals_a_scan(spark):
     questions += [("span", "n0", [" ".join(chunks[0][4].split()[2:4]), "zzz"]), ("in_long", "n0", [long[700:900]]), ("very_long", "n0", [long[300:300 + OVERLAP + 50]]), ("blank", "n1", [""]), ("none", "n0", []), ("upper", "n1", ["A", "%"])]
     c = spark.createDataFrame(chunks, CHUNKS).repartition(3)
     q = spark.createDataFrame(questions, "query_id string, namespace string, terms array<string>")
-    got = keyword_top_k(q, c, 7)
+    got = keyword_top_k(q, c, 7, indexed=True)
     assert sorted((r.query_id, r.chunk_id, r.rank_position) for r in got.collect()) == scanned(questions, chunks, 7)
 
 
@@ -61,5 +61,5 @@ def test_words_and_terms(spark):
 def test_plan_of_keyword_search_has_no_python(spark):
     c = spark.createDataFrame([("n", "c1", 0.5, 0, "some text here", None)], CHUNKS)
     q = spark.createDataFrame([("q", "n", ["text"])], "query_id string, namespace string, terms array<string>")
-    plan = keyword_top_k(q, c, 3)._jdf.queryExecution().toString()
+    plan = keyword_top_k(q, c, 3, indexed=True)._jdf.queryExecution().toString()
     assert "Arrow" not in plan and "Python" not in plan
